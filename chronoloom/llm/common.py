@@ -129,7 +129,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = both.join(low, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
         now = written(now, "large-star")
         low = now.groupBy("x").agg(F.min("y").alias("m"))
-        now = now.join(low, "x").select(F.explode(F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.*").where("x <> y").distinct()
+        pairs = F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))
+        now = now.join(low, "x").select(F.explode(pairs).alias("e")).select("e.*").where("x <> y").distinct()
         now = written(now, "small-star")
         got = now.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if got == mark:
