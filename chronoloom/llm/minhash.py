@@ -22,7 +22,9 @@ from chronoloom.llm.common import U64, components, lists, mix, signed, span_hash
 
 BANDS, ROWS = 42, 6
 #: Members of a bucket up to which those of different components meet directly.
-FEW = 48
+FEW = 256
+#: Members of a larger bucket that meet the others in one turn.
+BLOCK = 64
 #: Shingles times coordinates that one step holds.
 CELLS = 1 << 21
 
@@ -134,41 +136,45 @@ def _confirm(percent: int):
     return run
 
 
-def links(docs: DataFrame, signed_docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+def links(docs: DataFrame, signed_docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(class representatives of all rows, edges a-b between representatives that keep the components of all confirmed links)."""
-    classes = signed_docs.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
-    classes = written(classes.select("k1", "k2", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")), "classes")
-    rows = classes.select("rep", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    classes = signed_docs.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("m"))
+    classes = written(classes.select("k1", "k2", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.bands").alias("bands")), "classes")
+    rows = classes.select("rep", "n", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     members = written(rows.join(shared, "bucket"), "members")
+    # centres: the smallest member, and the one that meets most others in all its buckets
+    met = members.groupBy("rep").agg(F.sum("members").alias("met"))
+    members = members.join(met, "rep")
+    hubs = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("p"), F.max(F.struct("met", "rep", "n")).alias("q"))
+    near = F.expr(f"100 * least(c.n, n) >= {percent} * greatest(c.n, n)")
+    pairs = members.join(hubs, "bucket").select(F.explode(F.array("p", F.struct("q.rep", "q.n"))).alias("c"), "rep", "n").where(near & (F.col("c.rep") != F.col("rep")))
+    pairs = written(pairs.select(F.least("c.rep", "rep").alias("a"), F.greatest("c.rep", "rep").alias("b")).distinct(), "pairs")
+    # a text may meet any member of its buckets later
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = docs.select("doc_id", "text").mapInArrow(_squeeze, "doc_id long, z binary").join(wanted, "doc_id").mapInArrow(_sets(size), "doc_id long, shingles binary")
     sets = written(sets.distinct(), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        x, y = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-        x, y = x.withColumnRenamed("sa", "sx"), y.withColumnRenamed("sb", "sy")
+        x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sx"))
+        y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sy"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "sx", "sy").mapInArrow(_confirm(percent), "a long, b long, ok boolean").where("ok").select("a", "b").distinct()
 
-    pairs = members.select(F.explode(F.array("lo", "hi")).alias("a"), F.col("rep").alias("b")).where("a <> b")
-    edges = written(confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "links")
-    met = members.where("rep <> lo and rep <> hi").select("bucket", "rep")
+    edges = written(confirmed(pairs), "links")
+    members, turn = members.select("bucket", "rep", "n", "members"), 0
     while True:
-        # a member needs no more centres once its bucket lies in one component
-        comp = components(edges)
-        named = met.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"), F.min(F.struct("component", "rep")).alias("p"), F.max(F.struct("component", "rep")).alias("q")).where("c0 < c1")
-        named = written(named.join(mixed.select("bucket", "n", "p", "q"), "bucket").select("bucket", "rep", "component", "n", "p", "q"), "left")
-        if named.isEmpty():
-            return classes, edges
-        few, many = named.where(F.col("n") <= FEW), named.where(F.col("n") > FEW)
-        # large buckets: the smallest members of the smallest and of the largest component are the next centres
-        met_now = many.select(F.explode(F.array("p", "q")).alias("c"), "rep", "component").where("c.component <> component").select(F.col("c.rep").alias("x"), F.col("rep").alias("y"))
-        other = few.select("bucket", F.col("rep").alias("x"), F.col("component").alias("cx"))
-        direct = few.select("bucket", F.col("rep").alias("y"), "component").join(other, "bucket").where("x < y and cx <> component").select("x", "y")
-        pairs = met_now.unionByName(direct).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        # members of one bucket in different components meet: all at once in a bucket of at most FEW, else BLOCK of them meet all others in each turn
+        named = members.join(components(edges).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = named.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("bucket")
+        named = written(named.join(mixed, "bucket"), "left")
+        now = F.expr(f"members <= {FEW} or pmod(xxhash64(rep), cast(ceil(members / {BLOCK}) as bigint)) = {turn}")
+        other = named.where(now).select("bucket", F.col("rep").alias("x"), F.struct("n", "component").alias("c"))
+        pairs = named.join(other, "bucket").where(near & (F.col("c.component") != F.col("component"))).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
         edges = written(edges.unionByName(confirmed(pairs)).distinct(), "links")
-        met = many.where("rep <> p.rep and rep <> q.rep").select("bucket", "rep")
+        turn += 1
+        members = named.where(f"members > {FEW} and ceil(members / {BLOCK}) > {turn}").select("bucket", "rep", "n", "members")
+        if members.isEmpty():
+            return classes, edges
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
