@@ -3,8 +3,9 @@
 Two permutations give every signature coordinate: sigma scatters a shingle over Z_D (D = 2**32), pi orders Z_D, and
 coordinate k is min over the set of pi((sigma(v) + k) mod D), that is pi circularly shifted by k. Documents of one set
 form a class, of which only the member of smallest doc_id goes on. Buckets that more than one class shares link each member
-to few centres, never all with all; every link is confirmed on the full sets. Members of a bucket that are still in different
-components meet further centres until none are left, so no link between two classes that share a bucket is lost.
+to two centres, of which one, the hub, meets most others; every link is confirmed on the full sets. Members around one
+hub that are still in different components are then compared in blocks, and a task returns only links between components: no
+link between two classes that share a bucket is lost, and no list of pairs is made.
 
 Null text counts as empty. Empty texts have no shingles and are linked with nothing. Rows of one doc_id are one node; rows
 without doc_id link with nothing, have a null component and are kept. Extra columns are ignored by near_duplicates().
@@ -21,10 +22,8 @@ from pyspark.sql import functions as F
 from chronoloom.llm.common import U64, components, lists, mix, signed, span_hash, prefix_hash, texts, words, LOWER, written
 
 BANDS, ROWS = 42, 6
-#: Members of a bucket up to which those of different components meet directly.
-FEW = 256
-#: Members of a larger bucket that meet the others in one turn.
-BLOCK = 64
+#: Members of a block; two blocks meet in one task.
+BLOCK = 128
 #: Shingles times coordinates that one step holds.
 CELLS = 1 << 21
 
@@ -136,6 +135,34 @@ def _confirm(percent: int):
     return run
 
 
+def _meet(percent: int):
+    """Links between the asking rows and the others of a group, one for each two components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        reps, comps, asks = (table.column(c).to_numpy() for c in ("rep", "component", "asks"))
+        held = [np.frombuffer(x.as_buffer(), U64) for x in table.column("shingles")]
+        sizes = np.array([len(x) for x in held])
+        _, ids = np.unique(np.concatenate(held), return_inverse=True)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        mark = np.zeros(len(ids) + 1, bool)
+        told = np.flatnonzero(~asks)
+        for x in np.flatnonzero(asks):
+            y = told[(comps[told] != comps[x]) & (100 * np.minimum(sizes[told], sizes[x]) >= percent * np.maximum(sizes[told], sizes[x]))]
+            if not len(y):
+                continue
+            own = ids[at[x] : at[x + 1]]
+            mark[own] = True
+            for k in y:
+                shared = int(np.count_nonzero(mark[ids[at[k] : at[k + 1]]]))
+                if 100 * shared >= percent * (sizes[x] + sizes[k] - shared):
+                    found.setdefault(tuple(sorted((int(comps[x]), int(comps[k])))), tuple(sorted((int(reps[x]), int(reps[k])))))
+            mark[own] = False
+        return pa.table({"a": pa.array([p[0] for p in found.values()], pa.int64()), "b": pa.array([p[1] for p in found.values()], pa.int64())})
+
+    return run
+
+
 def links(docs: DataFrame, signed_docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(class representatives of all rows, edges a-b between representatives that keep the components of all confirmed links)."""
     classes = signed_docs.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("m"))
@@ -161,20 +188,22 @@ def links(docs: DataFrame, signed_docs: DataFrame, size: int, percent: int) -> t
         return pairs.join(x, "a").join(y, "b").select("a", "b", "sx", "sy").mapInArrow(_confirm(percent), "a long, b long, ok boolean").where("ok").select("a", "b").distinct()
 
     edges = written(confirmed(pairs), "links")
-    members, turn = members.select("bucket", "rep", "n", "members"), 0
-    while True:
-        # members of one bucket in different components meet: all at once in a bucket of at most FEW, else BLOCK of them meet all others in each turn
-        named = members.join(components(edges).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("bucket")
-        named = written(named.join(mixed, "bucket"), "left")
-        now = F.expr(f"members <= {FEW} or pmod(xxhash64(rep), cast(ceil(members / {BLOCK}) as bigint)) = {turn}")
-        other = named.where(now).select("bucket", F.col("rep").alias("x"), F.struct("n", "component").alias("c"))
-        pairs = named.join(other, "bucket").where(near & (F.col("c.component") != F.col("component"))).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-        edges = written(edges.unionByName(confirmed(pairs)).distinct(), "links")
-        turn += 1
-        members = named.where(f"members > {FEW} and ceil(members / {BLOCK}) > {turn}").select("bucket", "rep", "n", "members")
-        if members.isEmpty():
-            return classes, edges
+    # all members of the buckets of one hub: those outside its component meet everyone in another component, block by block
+    around = members.join(hubs.select("bucket", F.col("q.rep").alias("hub")), "bucket").select("hub", "rep").distinct()
+    comp = written(components(edges), "components")
+    around = around.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    main = comp.select(F.col("node").alias("hub"), F.col("component").alias("main"))
+    around = written(around.join(main, "hub", "left").withColumn("outside", F.col("component") != F.coalesce("main", "hub")).select("hub", "rep", "component", "outside"), "around")
+    counts = around.groupBy("hub").agg(F.count("*").alias("all"), F.count_if("outside").alias("out")).where("out > 0")
+    step = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("rep"), step(n)).cast("int")
+    around = around.join(counts, "hub").withColumn("i", place("out")).withColumn("j", place("all"))
+    row = ["hub", "rep", "component"]
+    x = around.where("outside").select(*row, "i", F.explode(F.sequence(F.lit(0), step("all") - 1)).alias("j"), F.lit(True).alias("asks"))
+    y = around.select(*row, F.explode(F.sequence(F.lit(0), step("out") - 1)).alias("i"), "j", F.lit(False).alias("asks"))
+    met = x.unionByName(y).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    more = met.groupBy("hub", "i", "j").applyInArrow(_meet(percent), "a long, b long").distinct()
+    return classes, written(edges.unionByName(more), "links")
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

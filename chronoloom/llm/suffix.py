@@ -234,9 +234,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int =
     """Removes each byte of a text that a string of length bytes covers which also starts anywhere else in docs(doc_id, text, ...).
 
     Returns one row per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256; with text=True, all columns of docs and the
-    remaining text instead of its hash. There, a character of which some bytes would go and some stay is kept whole.
+    remaining text instead of its hash, and columns of docs that bear these names are replaced. There, a character of which
+    some bytes would go and some stay is kept whole.
     """
-    columns = [c for c in docs.columns if c != "text"] if text else ["doc_id"]
+    made = {"text", "n_bytes", "n_removed", "n_spans", "z", "found", "copied", "__k"}
+    columns = [c for c in docs.columns if c not in made] if text else ["doc_id"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
     source = docs.select(*columns, F.coalesce("text", F.lit("")).alias("text")).withColumn("__k", F.xxhash64("text"))
     rows = source.select(F.col("__k").alias("k"), "text").mapInArrow(_scan(length, gram), "h long, c long, k long")
