@@ -205,7 +205,7 @@ def _votes(batches):
     for batch in batches:
         hosts, paths, scores = [], [], []
         for host, source in zip(batch.column("host"), batch.column("html"), strict=True):
-            if source.is_valid and len(source):
+            if source.is_valid:
                 node = _best(parsed(source.as_py())[1])
                 if node.score > 0:
                     hosts.append(host.as_py())
