@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import decontaminate, html, minhash, pieces, quality, suffix, toxicity
+from chronoloom.llm import decontaminate, html, licenses, minhash, pieces, quality, suffix, toxicity, urls, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,20 @@ def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeats(_table(spark, sf_dir, "documents"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a page is to be blocked if the labels of its number call it bad
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.expr("quality = 0 or toxic = 1").alias("block"))
+    return urls.judged(_table(spark, sf_dir, "pages"), labels)
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -47,8 +61,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_quality, op3_sentencepiece, op4_decontaminate, op5_suffix, op9_minhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_html, op2_quality, op3_sentencepiece, op4_decontaminate, op5_suffix, op6_urls, op7_licenses, op8_winnow, op9_minhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_licenses": licenses.sql(), "op8_winnow": winnow.sql()}
