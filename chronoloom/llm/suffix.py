@@ -9,8 +9,8 @@ in its group leaves the sort, as nothing can equal it any more:
    at the same place.
 2. Digit two is the whole string under a run: equal runs are repeated in full.
 3. Runs that are alone are cut into parts of PART suffixes, aligned at the gram, and these are compared, with one run of
-   each repeated group under the same gram.
-4. Parts that are alone are compared suffix by suffix, again with one of each repeated group.
+   each repeated group under the same gram. All suffixes of a part share a core; a part whose core is alone is done with.
+4. Parts that are alone but not by their core are compared suffix by suffix, again with one of each repeated group.
 
 Every pass is a hash aggregation with partial sums, so a group of any size costs one row for each task that meets it. A text
 that occurs more than once as a whole is known from its key. Within one document the last step compares locally.
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm.common import U64, lists, mix, prefix_hash, signed, span_hash, texts, written
 
-LENGTH, GRAM, PART = 200, 64, 8
+LENGTH, GRAM, PART = 200, 64, 16
+SIEVE = 22
 #: Rows that one step unpacks.
 ROWS = 64
 
@@ -71,8 +72,8 @@ class Runs:
         self.anchor, self.doc = anchor[heads], doc[heads]
         self.gram, self.whole = grams[self.anchor], span_hash(self.prefix, self.first, self.last + length)
 
-    def parts(self, chosen: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(run, first suffix, last suffix, hash) of the parts of the chosen runs, aligned at the anchor."""
+    def parts(self, chosen: np.ndarray, size: int, core: bool = False) -> tuple[np.ndarray, ...]:
+        """(run, first suffix, last suffix, hash) of the parts of the chosen runs, aligned at the anchor; core adds the hash of the bytes that all suffixes of a full part share."""
         start, stop, anchor = self.first[chosen], self.last[chosen], self.anchor[chosen]
         low, high = (start - anchor) // size, (stop - anchor) // size
         n = high - low + 1
@@ -80,7 +81,11 @@ class Runs:
         step = low[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
         a = np.maximum(anchor[run] + step * size, start[run])
         b = np.minimum(anchor[run] + step * size + size - 1, stop[run])
-        return chosen[run], a, b, span_hash(self.prefix, a, b + self.length)
+        out = chosen[run], a, b, span_hash(self.prefix, a, b + self.length)
+        if not core:
+            return out
+        full = anchor[run] + step * size
+        return *out, span_hash(self.prefix, full + size - 1, full + self.length)
 
 
 def _scan(length: int, gram: int):
@@ -95,12 +100,28 @@ def _scan(length: int, gram: int):
     return run
 
 
-def squeeze(columns: list[str]):
-    """Passes columns on and packs text as z."""
+class Sieve:
+    """A bitmap of 2**SIEVE places for the keys of a table: what it lacks isn't in the table. Its size is fixed; past some millions of keys it lets everything pass."""
+
+    def __init__(self, keys: DataFrame):
+        got = keys.select(F.col("k").bitwiseAND((1 << SIEVE) - 1).cast("int").alias("p")).distinct().toArrow()
+        bits = np.zeros(1 << SIEVE, bool)
+        bits[got["p"].to_numpy()] = True
+        self.bits = np.packbits(bits)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys & ((1 << SIEVE) - 1)
+        return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def squeeze(columns: list[str], sieve: Sieve | None = None, inside: bool = True):
+    """Passes columns on and packs text as z; with a sieve, of rows whose key is inside (or outside) only. The key is the first column."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
+            if sieve is not None:
+                batch = batch.filter(pa.array(sieve.has(batch.column(columns[0]).to_numpy(zero_copy_only=False)) == inside))
             z = [pack((x.as_buffer() if x.is_valid else b"") or b"") for x in batch.column("text").cast(pa.large_string()).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(z, pa.binary())], [*columns, "z"])
 
@@ -136,19 +157,34 @@ def _in(sorted_marks: np.ndarray, tags: np.ndarray) -> np.ndarray:
 
 
 def _cut(length: int, gram: int, size: int):
-    """Parts of the runs that are alone, each with the hashes of its suffixes."""
+    """Parts of the runs in the list wanted."""
+
+    def run(batches):
+        for part, raw in _unpacked(batches):
+            keys = part.column("k").to_numpy(zero_copy_only=False)
+            for a, b, data, offsets in texts(raw):
+                runs = Runs(data, offsets, length, gram)
+                chosen = np.flatnonzero(_in(_marks(part.column("wanted"), a, b), _tag(runs.doc, runs.whole)))
+                of, _, _, h, core = runs.parts(chosen, size, core=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(runs.gram[of])), pa.array(signed(h)), pa.array(signed(core)), pa.array(keys[a:b][runs.doc[of]], pa.int64())], ["h", "b", "o", "k"])
+
+    return run
+
+
+def _single(length: int, gram: int, size: int):
+    """Suffixes of the parts in the list wanted."""
 
     def run(batches):
         for part, raw in _unpacked(batches):
             keys = part.column("k").to_numpy(zero_copy_only=False)
             for a, b, data, offsets in texts(raw):
                 runs = Runs(data, offsets, length, gram)
-                chosen = np.flatnonzero(_in(_marks(part.column("alone"), a, b), _tag(runs.doc, runs.whole)))
-                of, first, last, h = runs.parts(chosen, size)
-                n = last - first + 1
+                of, first, last, h = runs.parts(np.arange(len(runs.first)), size)
+                some = _in(_marks(part.column("wanted"), a, b), _tag(runs.doc[of], h))
+                of, first, n = of[some], first[some], (last - first + 1)[some]
                 each = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                w = signed(span_hash(runs.prefix, each, each + length))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(runs.gram[of])), pa.array(signed(h)), pa.array(keys[a:b][runs.doc[of]], pa.int64()), lists(w, n)], ["h", "b", "k", "ws"])
+                of = np.repeat(of, n)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(runs.gram[of])), pa.array(signed(span_hash(runs.prefix, each, each + length))), pa.array(keys[a:b][runs.doc[of]], pa.int64())], ["h", "w", "k"])
 
     return run
 
@@ -245,20 +281,31 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int =
     found = rows.join(_repeated(rows, "h").select("h"), "h").distinct()
     found = written(found, "runs")
     both = found.join(_repeated(found, "h", "c"), ["h", "c"], "left")
-    alone = _onward(both).groupBy("k").agg(F.collect_set("c").alias("alone"))
     copied = source.groupBy("__k", F.xxhash64("text", F.lit(1)).alias("k2")).agg(F.count("*").alias("n"), F.min("doc_id").alias("id")).where("n > 1").groupBy(F.col("__k").alias("k")).agg(F.min("id").alias("id"))
     copied = written(copied, "copies")
-    wanted = alone.join(copied, "k", "left").select("k", "alone", "id")
-    packed = source.select(F.col("__k").alias("k"), "doc_id", "text").mapInArrow(squeeze(["k", "doc_id"]), f"k long, doc_id {dict(docs.dtypes)['doc_id']}, z binary")
-    # one copy of a text is enough here
-    cut = packed.join(wanted, "k").where("id is null or doc_id = id").select("k", "z", "alone").mapInArrow(_cut(length, gram, part), "h long, b long, k long, ws array<long>")
-    cut = written(cut, "parts")
-    marked = cut.join(_repeated(cut, "h", "b"), ["h", "b"], "left")
-    ones = _onward(marked).select("h", F.explode("ws").alias("w"), "k")
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def of_texts(wanted: DataFrame, step, schema: str) -> DataFrame:
+        """step over the texts that wanted(k, wanted) names, one copy of each."""
+        wanted = written(wanted.groupBy("k").agg(F.collect_set("v").alias("wanted")).join(copied, "k", "left"), "wanted")
+        packed = source.select(F.col("__k").alias("k"), "doc_id", "text").mapInArrow(squeeze(["k", "doc_id"], Sieve(wanted)), f"k long, doc_id {kind}, z binary")
+        return packed.join(wanted, "k").where("id is null or doc_id = id").select("k", "z", "wanted").mapInArrow(step, schema)
+
+    cut = written(of_texts(_onward(both).select("k", F.col("c").alias("v")), _cut(length, gram, part), "h long, b long, o long, k long"), "parts")
+    marked = cut.join(_repeated(cut, "h", "b"), ["h", "b"], "left").join(_repeated(cut, "h", "o").select("h", "o"), ["h", "o"], "left_semi")
+    marked = written(marked, "marked-parts")
+    hot = marked.where("lo is null").select("h", "o").distinct()
+    edges = marked.where("lo is null or k = lo").join(hot, ["h", "o"], "left_semi")
+    ones = written(of_texts(edges.select("k", F.col("b").alias("v")), _single(length, gram, part), "h long, w long, k long"), "suffixes")
     ones = ones.join(_repeated(ones, "h", "w").select("h", "w"), ["h", "w"])
     marks = both.where("lo is not null").select("k", F.col("c").alias("v")).unionByName(marked.where("lo is not null").select("k", F.col("b").alias("v"))).unionByName(ones.select("k", F.col("w").alias("v")))
     marks = marks.groupBy("k").agg(F.collect_set("v").alias("found")).join(copied.select("k", F.lit(True).alias("copied")), "k", "full").withColumnRenamed("k", "__k")
     marks = written(marks, "marks")
-    packed = source.mapInArrow(squeeze(["__k", *columns]), f"`__k` long, {kinds}, z binary")
+    # texts without marks needn't move
+    sieve = Sieve(marks.select(F.col("__k").alias("k")))
+    packed, rest = (source.mapInArrow(squeeze(["__k", *columns], sieve, inside), f"`__k` long, {kinds}, z binary") for inside in (True, False))
+    packed = packed.join(marks, "__k", "left")
+    rest = rest.select("*", F.lit(None).cast("array<bigint>").alias("found"), F.lit(None).cast("boolean").alias("copied"))
     out = ", ".join([kinds, "n_bytes long, n_removed long, n_spans long", "text string" if text else "kept_sha256 string"])
-    return packed.join(marks, "__k", "left").mapInArrow(_finish(length, gram, part, columns, text), out)
+    finish = _finish(length, gram, part, columns, text)
+    return packed.mapInArrow(finish, out).unionByName(rest.mapInArrow(finish, out))
