@@ -5,7 +5,7 @@ trie whose arcs write piece ids, weighted by minus their scores) and the byte fa
 UTF-8 bytes). A text is composed with the transducer lazily and the shortest path in the tropical semiring is read off.
 
 A model of kind BPE restricts which piece may follow which: the states carry the last piece, and an arc exists only if merging
-the two pieces' characters by score gives these two pieces again. The path that is left is the one that merging gives. No
+the two pieces' characters by score gives these two pieces again. One path is left, that which merging gives. No
 piece has the mark after another character, so a text falls apart before every mark, as well as at characters without
 a piece, and shortest paths of parts are kept.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Parts whose paths a worker remembers.
-KEPT = 300_000
+KEPT = 500_000
+#: Pairs of pieces whose fit it remembers.
+FOLLOWS = 1_000_000
 
 
 def _fields(raw: bytes):
@@ -132,13 +135,56 @@ class Transducer:
             return True
         key = (last, piece)
         if (known := self.follows.get(key)) is None:
-            known = self.follows[key] = self._merged(last + piece) == [last, piece]
+            known = self._merged(last + piece) == [last, piece]
+            if len(self.follows) < FOLLOWS:
+                self.follows[key] = known
         return known
 
+    def _arcs(self, part: str, at: int) -> list[tuple[int, str | None, tuple[int, ...]]]:
+        """(end, piece, ids) of the arcs that leave a place, shortest first; pieces that merging never gives are left out."""
+        node, k, out = self.trie.get(part[at]), at + 1, []
+        if node is None:
+            # no piece follows or precedes such a character otherwise than it does
+            return [(k, None, tuple(self.bytes[b] for b in part[at].encode()) if self.bytes else (self.unknown,))]
+        n = len(part)
+        while node is not None:
+            leaf = node.get("")
+            if leaf is not None and (k - at == 1 or self._reachable(leaf[1])):
+                out.append((k, leaf[1], (leaf[0],)))
+            if k == n:
+                break
+            node, k = node.get(part[k]), k + 1
+        return out
+
+    def _only(self, part: str) -> tuple[int, ...] | None:
+        """The one path of a BPE machine's composition with a part, found depth first along the longest arcs; of one path, the tropical sum needs no comparison."""
+        n, dead, stack = len(part), set(), []
+        at, last, arcs = 0, None, self._arcs(part, 0)
+        follows = self.follows
+        while True:
+            while arcs:
+                end, piece, ids = arcs.pop()
+                if (end, piece) in dead:
+                    continue
+                if last is not None and piece is not None:
+                    ok = follows.get((last, piece))
+                    if ok is None:
+                        ok = self._may_follow(last, piece)
+                    if not ok:
+                        continue
+                stack.append((at, last, arcs, ids))
+                if end == n:
+                    return tuple(i for x in stack for i in x[3])
+                at, last, arcs = end, piece, self._arcs(part, end)
+            if not stack:
+                return None
+            dead.add((at, last))
+            at, last, arcs, _ = stack.pop()
+
     def path(self, part: str) -> tuple[int, ...]:
         """Ids on the shortest path of one part of a normalised text."""
-        if self.kind == BPE and part in self.score and self._reachable(part):
-            return (self.ids[part],)
+        if self.kind == BPE and (only := self._only(part)) is not None:
+            return only
         n = len(part)
         # states: place and last piece; value: weight, ids of the arc, place and piece before
         states: list[dict[str | None, tuple]] = [{} for _ in range(n + 1)]
@@ -184,10 +230,8 @@ class Transducer:
             ids = kept.get(part)
             if ids is None:
                 ids = self.path(part)
-                if len(kept) >= KEPT:
-                    kept.clear()
-                    self.follows.clear()
-                kept[part] = ids
+                if len(kept) < KEPT:
+                    kept[part] = ids
             out += ids
         return out
 
@@ -208,9 +252,15 @@ def read_model(path: str | None = None) -> bytes:
         return f.read()
 
 
+@lru_cache(2)
+def machine_of(model: bytes) -> Transducer:
+    """One machine for all tasks of a worker, with what it remembers."""
+    return Transducer(model)
+
+
 def _encode(model: bytes, columns: list[str]):
     def run(batches):
-        machine = Transducer(model)
+        machine = machine_of(model)
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
@@ -242,7 +292,7 @@ def encoded(docs: DataFrame, columns: list[str] | None = None, model: str | None
 
 def _decode(model: bytes):
     def run(batches):
-        machine = Transducer(model)
+        machine = machine_of(model)
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
