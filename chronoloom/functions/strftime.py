@@ -7,10 +7,10 @@ Specifiers with the C locale's meaning are written out; of the others %U %W %V %
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.functions.civil import DAYS, MONTHS, Number, civil_day, civil_month, civil_year, day_of_year, dow_from_days, fdiv, num, rem, resolve_civil, shortest_offset, two, year_text
+from chronoloom.functions.civil import DAYS, MONTHS, Number, civil_day, civil_month, civil_year, day_of_year, dow_from_days, fdiv, num, rem, shortest_offset, two, year_text
 from chronoloom.operators.zones import Lookup
 
 LIMIT = 128
@@ -40,11 +40,22 @@ def _name(names: list[str], at: Column, short: bool) -> Column:
     return F.element_at(F.array(*(F.lit(n[:3] if short else n) for n in names)), at.cast("int"))
 
 
+FIELDS = ["day", "second", "year", "month", "dom", "doy"]
+
+
+def fields(local: Column) -> dict[str, Column]:
+    """What formats read from local seconds."""
+    day = fdiv(local, 86400)
+    return dict(zip(FIELDS, (day, rem(local, 86400), civil_year(day), civil_month(day), civil_day(day), day_of_year(day)), strict=True))
+
+
 class Moment:
     """The fields of a local time that specifiers write."""
 
-    def __init__(self, local: Column, utc: Column, nanos: Column | None, precision: int, zone: Column, offset: Column):
-        self.day, self.second = fdiv(local, 86400), rem(local, 86400)
+    def __init__(self, local: Column, utc: Column, nanos: Column | None, precision: int, zone: Column, offset: Column, held: Column | None = None):
+        """held has the calendar's fields() of local, where they were computed before."""
+        get = fields(local) if held is None else {k: held[k] for k in FIELDS}
+        self.day, self.second, self.year, self.month, self.dom, self.doy = (get[k] for k in FIELDS)
         self.utc, self.zone, self.offset = utc, zone, offset
         self.fraction = F.concat(F.lit("."), F.substring(F.lpad(num(nanos).cast("string"), 9, "0"), 1, precision)) if precision and nanos is not None else F.lit("")
         self.hour = F.call_function("div", self.second, F.lit(3600))
@@ -57,7 +68,7 @@ class Moment:
         return civil_year(thursday), F.floor((day_of_year(thursday) - 1) / 7).cast("long") + 1
 
     def of(self, c: str) -> Column:
-        day, year = self.day, civil_year(self.day)
+        day, year = self.day, self.year
         dow = dow_from_days(day)
         match c:
             case "Y":
@@ -68,13 +79,13 @@ class Moment:
                 century = F.call_function("div", year, F.lit(100))
                 return F.when(century.between(0, 99), two(century)).otherwise(century.cast("string"))
             case "m":
-                return two(civil_month(day))
+                return two(self.month)
             case "b" | "h" | "B":
-                return _name(MONTHS, civil_month(day), c != "B")
+                return _name(MONTHS, self.month, c != "B")
             case "d" | "e":
-                return (two if c == "d" else _space)(civil_day(day))
+                return (two if c == "d" else _space)(self.dom)
             case "j":
-                return F.lpad(day_of_year(day).cast("string"), 3, "0")
+                return F.lpad(self.doy.cast("string"), 3, "0")
             case "a" | "A":
                 return _name(DAYS, dow + 1, c == "a")
             case "w":
@@ -99,7 +110,7 @@ class Moment:
                 return F.concat(self.utc.cast("string"), self.fraction)
             case "U" | "W":
                 first = dow if c == "U" else rem(dow + 6, 7)
-                return two(F.floor((day_of_year(day) - 1 + 7 - first) / 7))
+                return two(F.floor((self.doy - 1 + 7 - first) / 7))
             case "V":
                 return two(self._iso()[1])
             case "G":
@@ -168,11 +179,26 @@ def fmt_days(fmt: str, days: Number) -> Column:
 
 
 def fmt_zoned(fmt: str, zone: Lookup, t: Number, nanos: Number | None = None, precision: int = 0) -> Column:
-    """UTC seconds as a zone's local time."""
+    """UTC seconds as a zone's local time. with_formatted() does the same over a DataFrame and is faster."""
+    t = num(t)
+    known = F.struct(t.alias("t"), zone.to_local(t).alias("local"), zone.offset(t).alias("offset"), zone.abbrev(t).alias("abbrev"))
+    # the lookup is bound by a lambda, lest every field repeats it
+    said = F.transform(F.array(known), lambda x: _present(x["local"], compiled(fmt, Moment(x["local"], x["t"], nanos, precision, x["abbrev"], shortest_offset(x["offset"])))))
+    return F.get(said, F.lit(0))
+
+
+def with_formatted(df: DataFrame, formats: dict[str, str], t: Number, zone: Lookup | None = None, nanos: Column | None = None, precision: int = 0) -> DataFrame:
+    """df with a column for each format, of UTC seconds in UTC or as a zone's local time.
+
+    The lookup and the calendar's fields are projections of their own, so all stays within generated code however many formats there are.
+    """
     t = num(t)
-    need = {c for c, special in parts(fmt) if special}
-    local = zone.to_local(t)
-    return _present(local, compiled(fmt, Moment(local, t, nanos, precision, zone.abbrev(t) if "Z" in need else F.lit(""), shortest_offset(zone.offset(t)) if "z" in need else F.lit(""))))
+    state = [t.alias("t"), t.alias("local"), F.lit("+00").alias("offset"), F.lit("UTC").alias("abbrev")] if zone is None else [t.alias("t"), zone.to_local(t).alias("local"), zone.offset(t).alias("offset"), zone.abbrev(t).alias("abbrev")]
+    df = df.withColumn("__at", F.struct(*state))
+    df = df.withColumn("__held", F.struct(*(c.alias(k) for k, c in fields(F.col("__at.local")).items())))
+    at = F.col("__at")
+    moment = Moment(at["local"], at["t"], nanos, precision, at["abbrev"], at["offset"] if zone is None else shortest_offset(at["offset"]), F.col("__held"))
+    return df.withColumns({to: _present(at["local"], compiled(fmt, moment)) for to, fmt in formats.items()}).drop("__at", "__held")
 
 
 def fmt_to(text: Column, count: int) -> Column:

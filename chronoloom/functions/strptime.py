@@ -11,12 +11,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions.civil import DAYS, MONTHS, fdiv, resolve_civil, resolve_civil_ordinal
 from chronoloom.functions.strftime import COMPOSITE, FormatError
 
+MARK = "\x01"
 SPACES = r"[ \t\n\r\x0B\f]*"
 PADDED = r"(\d{1,2}| \d)"
 
@@ -100,14 +101,21 @@ def compile_format(fmt: str) -> Compiled:
     return out
 
 
-def _fields(fmt: str, text: Column) -> tuple[Column, Column, Column]:
+def _found(fmt: str, text: Column) -> Column:
+    """All groups of one match, as an array."""
+    form = compile_format(fmt)
+    return F.split(F.regexp_replace(text, f"(?s)^{form.pattern}.*$", MARK.join(f"${k + 1}" for k in range(form.count))), MARK)
+
+
+def _fields(fmt: str, text: Column, found: Column | None = None) -> tuple[Column, Column, Column]:
     """(whether the input fits, seconds, nanoseconds)."""
     form = compile_format(fmt)
     fits = text.rlike(f"(?s)^{form.pattern}")
-    group = lambda n: F.regexp_extract(text, f"(?s)^{form.pattern}", n)
-    whole = lambda n: F.nullif(F.ltrim(group(n)), F.lit("")).cast("long")
+    found = _found(fmt, text) if found is None else found
+    group = lambda n: F.get(found, F.lit(n - 1))
+    whole = lambda n: F.ltrim(group(n)).try_cast("long")
     get = lambda name, default: F.lit(default).cast("long") if form.last(name) is None else whole(form.last(name))
-    frac = lambda n: F.coalesce(F.rpad(F.nullif(group(n), F.lit("")), 9, "0").cast("long"), F.lit(0).cast("long"))
+    frac = lambda n: F.coalesce(F.rpad(F.nullif(group(n), F.lit("")), 9, "0").try_cast("long"), F.lit(0).cast("long"))
     nanos = F.lit(0).cast("long")
     if (n := form.last("s")) is not None:
         return fits, whole(n), frac(n + 1)
@@ -168,6 +176,13 @@ def try_parse_s(fmt: str, text: Column) -> Column:
     return F.when(fits, s)
 
 
+def with_parsed(df: DataFrame, to: str, fmt: str, text: Column) -> DataFrame:
+    """df with parse_s() in column to: the match is a projection of its own, so several columns stay within generated code."""
+    _, seconds, _ = _fields(fmt, text, F.col(f"__{to}.found"))
+    held = F.struct(text.alias("text"), text.rlike(f"(?s)^{compile_format(fmt).pattern}").alias("fits"), _found(fmt, text).alias("found"))
+    return df.withColumn(f"__{to}", held).withColumn(to, _strict(fmt, F.col(f"__{to}.text"), F.col(f"__{to}.fits"), seconds)).drop(f"__{to}")
+
+
 def parse_d(fmt: str, text: Column) -> Column:
     """Days since the epoch."""
     return fdiv(parse_s(fmt, text), 86400)
