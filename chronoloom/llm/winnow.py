@@ -18,7 +18,7 @@ from chronoloom.llm.common import small
 TOKEN, K, W = 16, 3, 4
 HASH = 8
 #: Documents of one block of neighbours.
-ROWS = 4000
+ROWS = 1000
 BROADCAST_BLOCKS = 20_000
 
 
@@ -35,12 +35,16 @@ def chosen(text: Column) -> Column:
 
     def least(g: Column) -> Column:
         n = F.size(g)
-        each = F.transform(F.sequence(F.lit(1), n - W + 1), lambda i: F.array_min(F.slice(g, i, W)))
-        return F.array_distinct(F.when(n >= W, each).when(n > 0, F.array(F.array_min(g))).otherwise(g))
+        each = F.transform(F.sequence(F.lit(0), n - W), lambda i: F.least(*(F.get(g, i + k) for k in range(W))))
+        return F.when(n >= W, each).when(n > 0, F.array(F.array_min(g))).otherwise(g)
+
+    # windows that share a choice are neighbours
+    def once(m: Column) -> Column:
+        return F.filter(m, lambda x, i: (i == 0) | (F.get(m, i - 1)["p"] != x["p"]))
 
     # a lambda binds what several expressions need, so it is computed once
     bind = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
-    return bind(bind(tokens, grams), least)
+    return bind(bind(bind(tokens, grams), least), once)
 
 
 def hashes(picks: Column) -> Column:
@@ -48,8 +52,9 @@ def hashes(picks: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of two arrays of hashes."""
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    """Jaccard likeness of two arrays of distinct hashes."""
+    both = F.size(F.array_intersect(a, b))
+    either = F.size(a) + F.size(b) - both
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either).cast("double")
 
 
@@ -86,7 +91,8 @@ def edited(docs: DataFrame) -> DataFrame:
     rows = with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), "text", "following", F.concat(F.left("text", n - cut), F.left("following", cut)).alias("edit"))
     rows = rows.select("doc_id", "n_chars", F.sha2(F.encode("edit", "UTF-8"), 256).alias("edited_sha256"), *(hashes(chosen(F.col(c))).alias(c) for c in ("text", "edit", "following")))
     join = lambda c: F.array_join(c, " ")
-    return rows.select("doc_id", "n_chars", "edited_sha256", join("text").alias("fingerprint"), join("edit").alias("edited_fingerprint"), likeness(F.col("text"), F.col("edit")).alias("near_edited"), likeness(F.col("text"), F.col("following")).alias("near_next"))
+    rows = rows.select("doc_id", "n_chars", "edited_sha256", join("text").alias("fingerprint"), join("edit").alias("edited_fingerprint"), *(F.array_distinct(c).alias(c) for c in ("text", "edit", "following")))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("text"), F.col("edit")).alias("near_edited"), likeness(F.col("text"), F.col("following")).alias("near_next"))
 
 
 def _sql_chosen(text: str) -> str:
