@@ -80,19 +80,21 @@ def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, license, dice, n_units): for each document of docs(doc_id, text) and licence the best Dice of its units and how many match."""
     hint = F.lit(False)
     for w in hints(least):
-        hint = hint | F.contains(F.col("low"), F.lit(w))
+        # a short word is looked for as a word
+        hint = hint | (F.contains(F.col("low"), F.lit(w)) if len(w) > 3 else F.col("low").rlike(f"(^|[^a-z0-9]){w}([^a-z0-9]|$)"))
     texts = docs.select("doc_id", "text", F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("low")).where(hint).select("doc_id", "text")
     units = F.array_distinct(F.concat(F.array("text"), F.split("text", "\n"), F.split("text", r"\n|(?<=[.!?])\s+")))
     sizes = [len(g) for _, g in templates()]
-    low, high = min(sizes) * least / (2 - least), max(sizes) * (2 - least) / least
-    rows = texts.select("doc_id", F.explode(units).alias("unit")).select("doc_id", F.split(_normal(F.col("unit")), " ").alias("w"))
-    rows = rows.where(F.size("w") > F.lit(low))
+    low = min(sizes) * least / (2 - least)
+    # explode_outer: for explode, Catalyst adds a filter on the whole array and pushes it below the projections, into every lambda
+    rows = texts.select("doc_id", F.explode_outer(units).alias("unit")).select("doc_id", F.split(_normal(F.col("unit")), " ").alias("w"))
+    rows = rows.where(F.size("w") > F.lit(max(1.0, low)))
     pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))))
-    rows = rows.where(F.size("w") >= 2).select("doc_id", pairs.alias("b")).where(F.size("b").between(F.lit(low), F.lit(high)))
+    rows = rows.select("doc_id", pairs.alias("b"))
     known = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, g)).alias("t"), F.lit(len(g)).alias("n")) for name, g in templates()))
     fits = F.filter(known, lambda t: F.size("b").between(t["n"] * F.lit(least / (2 - least)), t["n"] * F.lit((2 - least) / least)))
     scored = F.transform(fits, lambda t: F.struct(t["license"].alias("license"), (2 * F.size(F.array_intersect("b", t["t"])) / (F.size("b") + t["n"])).alias("dice")))
-    found = rows.select("doc_id", F.explode(F.filter(scored, lambda x: x["dice"] >= least)).alias("m")).select("doc_id", "m.*")
+    found = rows.select("doc_id", F.explode_outer(F.filter(scored, lambda x: x["dice"] >= least)).alias("m")).where("m is not null").select("doc_id", "m.*")
     return found.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count("*").alias("n_units"))
 
 
