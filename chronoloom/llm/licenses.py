@@ -85,14 +85,14 @@ def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
     texts = docs.select("doc_id", "text", F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("low")).where(hint).select("doc_id", "text")
     units = F.array_distinct(F.concat(F.array("text"), F.split("text", "\n"), F.split("text", r"\n|(?<=[.!?])\s+")))
     sizes = [len(g) for _, g in templates()]
-    low = min(sizes) * least / (2 - least)
+    low = min(sizes) * least / (2 - least) - 1e-6
     # explode_outer: for explode, Catalyst adds a filter on the whole array and pushes it below the projections, into every lambda
     rows = texts.select("doc_id", F.explode_outer(units).alias("unit")).select("doc_id", F.split(_normal(F.col("unit")), " ").alias("w"))
     rows = rows.where(F.size("w") > F.lit(max(1.0, low)))
     pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))))
     rows = rows.select("doc_id", pairs.alias("b"))
     known = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, g)).alias("t"), F.lit(len(g)).alias("n")) for name, g in templates()))
-    fits = F.filter(known, lambda t: F.size("b").between(t["n"] * F.lit(least / (2 - least)), t["n"] * F.lit((2 - least) / least)))
+    fits = F.filter(known, lambda t: F.size("b").between(t["n"] * F.lit(least / (2 - least)) - 1e-6, t["n"] * F.lit((2 - least) / least) + 1e-6))
     scored = F.transform(fits, lambda t: F.struct(t["license"].alias("license"), (2 * F.size(F.array_intersect("b", t["t"])) / (F.size("b") + t["n"])).alias("dice")))
     found = rows.select("doc_id", F.explode_outer(F.filter(scored, lambda x: x["dice"] >= least)).alias("m")).where("m is not null").select("doc_id", "m.*")
     return found.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count("*").alias("n_units"))
@@ -109,5 +109,5 @@ d as (select doc_id, text, string_split(text, chr(10)) as lines from documents w
 u as (select doc_id, unnest(list_distinct([text] || lines || flatten([string_split_regex(regexp_replace(l, '([.!?])[ \\t\\x0B\\f\\r]+', '\\1' || chr(10), 'g'), '\\n') for l in lines]))) as unit from d),
 w as (select doc_id, string_split({normal}, ' ') as w from u),
 b as (select doc_id, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as b from w where len(w) >= 2),
-s as (select doc_id, license, 2 * len(list_intersect(b, t))::double / (len(b) + len(t)) as dice from b join t on len(b) between len(t) * {least / (2 - least)!r} and len(t) * {(2 - least) / least!r})
+s as (select doc_id, license, 2 * len(list_intersect(b, t))::double / (len(b) + len(t)) as dice from b join t on len(b) between len(t) * {least / (2 - least)!r} - 1e-6 and len(t) * {(2 - least) / least!r} + 1e-6)
 select doc_id, license, max(dice) as dice, count(*) as n_units from s where dice >= {least} group by all"""
