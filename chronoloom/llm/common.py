@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that one vectorised step handles at once; bounds the memory of a Python worker.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+# memory that a step has freed goes back to the system, as workers live on with the next steps
+pa.set_memory_pool(pa.system_memory_pool())
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 U64 = np.uint64
 _BASE, _SEED = 0x9E3779B97F4A7C15 | 1, 20240229
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(_SEED)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -25,6 +29,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold BATCH_ROWS rows and BATCH_BYTES at most: texts are long, and a batch is held by the JVM and by Python at once.
+
+    Smaller settings of the session stay.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.sub(r"\D", "", conf.get(name, None) or "0")
+        if not 0 < int(now or 0) <= most:
+            conf.set(name, str(most))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one of our own where the session names none."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import LOWER, U64, prefix_hash, signed, small, span_hash, texts
+from chronoloom.llm.common import LOWER, U64, lean, prefix_hash, signed, small, span_hash, texts
 
 RANK = 256
 #: Words of the vocabulary: those that fewest items have go first out of it.
@@ -207,7 +207,7 @@ def _search(vocabulary: np.ndarray, idf: np.ndarray, rare: float, latent: np.nda
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = RANK) -> DataFrame:
     """(doc_id, item_id, cosine, covered, answer, contaminated): a row for each document of docs(doc_id, text) and item of benchmark(item_id, text) that it holds."""
-    spark = docs.sparkSession
+    spark = lean(docs).sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, item_id long, cosine double, covered double, answer double"

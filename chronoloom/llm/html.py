@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import small, written
+from chronoloom.llm.common import lean, small, written
 
 #: Share of a host's votes that makes a path win; so a host has 1 / WINNING winners at most.
 WINNING = 0.05
@@ -234,7 +234,7 @@ def winning_paths(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of pages(page_id, url, html)."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))
-    source = pages.select("page_id", "url", "html", host.alias("host"))
+    source = lean(pages).select("page_id", "url", "html", host.alias("host"))
     won = written(winning_paths(source), "paths")
     won = F.broadcast(won) if small(won, BROADCAST_HOSTS) else won
     kind = dict(pages.dtypes)["page_id"]

@@ -19,13 +19,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import U64, components, lists, mix, signed, span_hash, prefix_hash, texts, words, LOWER, written
+from chronoloom.llm.common import U64, components, lean, lists, mix, signed, span_hash, prefix_hash, texts, words, LOWER, written
 
 BANDS, ROWS = 42, 6
 #: Members of a block; two blocks meet in one task.
 BLOCK = 128
 #: Shingles times coordinates that one step holds.
-CELLS = 1 << 21
+CELLS = 1 << 19
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -102,8 +102,10 @@ def _sign(size: int, bands: int, rows: int):
 
 def _squeeze(batches):
     pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([pack((x or "").encode()) for x in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "z"])
+    for whole in batches:
+        for i in range(0, whole.num_rows, 128):
+            batch = whole.slice(i, 128)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([pack((x or "").encode()) for x in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "z"])
 
 
 def _sets(size: int):
@@ -212,7 +214,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, bands: in
     Links texts whose sets of size-word shingles have 100 * intersection >= percent * union. A pair at 80 per cent shares
     no bucket with a probability of 3e-6. A component of copies is named by its smallest doc_id, which alone is kept.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = written(source.mapInArrow(_sign(size, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signatures")
     classes, edges = links(source, marks, size, percent)
     named = classes.select("k1", "k2", "rep").join(components(edges).withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))

@@ -25,16 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import lists
+from chronoloom.llm.common import lean, lists
 
 MARK = "▁"
 #: Kinds of pieces in the model format.
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Parts whose paths a worker remembers.
-KEPT = 500_000
+KEPT = 250_000
 #: Pairs of pieces whose fit it remembers.
-FOLLOWS = 1_000_000
+FOLLOWS = 400_000
 
 
 def _fields(raw: bytes):
@@ -286,7 +286,7 @@ def encoded(docs: DataFrame, columns: list[str] | None = None, model: str | None
     """
     columns = [f.name for f in docs.schema if f.name in (["doc_id"] if columns is None else columns) and f.name not in ("ids", "n_ids", "decoded_sha256", "round_trip")]
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns]
-    out = docs.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(_encode(read_model(model), columns), ", ".join([*kinds, "__ids array<int>, __n long, __sha string, __same boolean"]))
+    out = lean(docs).select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(_encode(read_model(model), columns), ", ".join([*kinds, "__ids array<int>, __n long, __sha string, __same boolean"]))
     return out.withColumnsRenamed({"__ids": "ids", "__n": "n_ids", "__sha": "decoded_sha256", "__same": "round_trip"})
 
 

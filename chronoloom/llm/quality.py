@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import LOWER, U64, lists, mix, prefix_hash, span_hash, texts, words
+from chronoloom.llm.common import LOWER, U64, lean, lists, mix, prefix_hash, span_hash, texts, words
 
 WIDTH = 1 << 16
 SAMPLE = 8000
@@ -122,7 +122,7 @@ def scored(docs: DataFrame, ratings: DataFrame, columns: list[str] | None = None
     columns = [f.name for f in docs.schema if f.name in columns]
     tails = [f"__p{k + 1}" for k in range(GRADES - 1)]
     # text is read under another name, lest it be wanted twice
-    source = docs.select(*columns, *([] if "text" in columns else ["text"]))
+    source = lean(docs).select(*columns, *([] if "text" in columns else ["text"]))
     return source.mapInArrow(_score(weights, cuts, columns), ", ".join([kinds, "expected_grade double", *(f"{t} double" for t in tails)])).withColumnsRenamed({t: t[2:] for t in tails})
 
 
@@ -131,5 +131,5 @@ def selected(docs: DataFrame, ratings: DataFrame, least: float = 0.5, grade: int
     p = f"__p{grade}"
     weights, cuts = train(docs, ratings, sample)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.mapInArrow(_score(weights, cuts, docs.columns), ", ".join([kinds, "__grade double", *(f"__p{k + 1} double" for k in range(GRADES - 1))]))
+    out = lean(docs).mapInArrow(_score(weights, cuts, docs.columns), ", ".join([kinds, "__grade double", *(f"__p{k + 1} double" for k in range(GRADES - 1))]))
     return out.where(F.col(p) >= least).select(*docs.columns)

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import U64, lists, mix, prefix_hash, signed, span_hash, texts, written
+from chronoloom.llm.common import U64, lean, lists, mix, prefix_hash, signed, span_hash, texts, written
 
 LENGTH, GRAM, PART = 200, 64, 16
 SIEVE = 22
@@ -276,7 +276,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int =
     made = {"text", "n_bytes", "n_removed", "n_spans", "z", "found", "copied", "__k"}
     columns = [c for c in docs.columns if c not in made] if text else ["doc_id"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
-    source = docs.select(*columns, F.coalesce("text", F.lit("")).alias("text")).withColumn("__k", F.xxhash64("text"))
+    source = lean(docs).select(*columns, F.coalesce("text", F.lit("")).alias("text")).withColumn("__k", F.xxhash64("text"))
     rows = source.select(F.col("__k").alias("k"), "text").mapInArrow(_scan(length, gram), "h long, c long, k long")
     found = rows.join(_repeated(rows, "h").select("h"), "h").distinct()
     found = written(found, "runs")

@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.llm.common import lean
+
 TOXIC, ORDINARY = 3000, 6000
 RATIO, SHARE, LEAST, SHORTEST = 8.0, 0.01, 3, 4
 WORDS = 20_000
@@ -34,7 +36,7 @@ CLEAR, CLIP = 8, 16
 #: Bytes of a word that are compared; longer ones are cut into such windows.
 LONG = 48
 #: Words whose differences a worker remembers.
-KEPT = 400_000
+KEPT = 250_000
 EDGE = b".,;:!?\"'()[]{}<>|%$#*&"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -160,4 +162,4 @@ def judged(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: int
     """
     model = train(docs, labels, toxic, ordinary)
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_score(*model), f"doc_id {kind}, score double, largest double, predicted int")
+    return lean(docs).select("doc_id", "text").mapInArrow(_score(*model), f"doc_id {kind}, score double, largest double, predicted int")
