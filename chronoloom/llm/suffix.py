@@ -114,14 +114,14 @@ class Sieve:
         return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def squeeze(columns: list[str], sieve: Sieve | None = None, inside: bool = True):
-    """Passes columns on and packs text as z; with a sieve, of rows whose key is inside (or outside) only. The key is the first column."""
+def squeeze(columns: list[str], sieve: Sieve | None = None):
+    """Passes columns on and packs text as z; with a sieve, of rows only whose key is inside. The key is the first column."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             if sieve is not None:
-                batch = batch.filter(pa.array(sieve.has(batch.column(columns[0]).to_numpy(zero_copy_only=False)) == inside))
+                batch = batch.filter(pa.array(sieve.has(batch.column(columns[0]).to_numpy(zero_copy_only=False))))
             z = [pack((x.as_buffer() if x.is_valid else b"") or b"") for x in batch.column("text").cast(pa.large_string()).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(z, pa.binary())], [*columns, "z"])
 
@@ -229,12 +229,21 @@ def removed(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray, whole: np.
     return out
 
 
-def _finish(length: int, gram: int, size: int, columns: list[str], text: bool):
+def _finish(length: int, gram: int, size: int, columns: list[str], text: bool, sieve: Sieve | None = None):
+    """What is left of texts; with a sieve, of rows as they come whose key __k is outside, so that nothing is marked in them."""
+
+    def outside(batches):
+        for batch in batches:
+            keys = batch.column("__k").to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(~sieve.has(keys)))
+            yield batch, batch.column("text")
+
     def run(batches):
-        for part, raw in _unpacked(batches):
-            copies = np.array(part.column("copied").fill_null(False).to_pylist(), bool)
+        for part, raw in _unpacked(batches) if sieve is None else outside(batches):
+            none = np.zeros(0, U64)
+            copies = np.zeros(part.num_rows, bool) if sieve else np.array(part.column("copied").fill_null(False).to_pylist(), bool)
             for a, b, data, offsets in texts(raw):
-                gone = removed(data, offsets, _marks(part.column("found"), a, b), copies[a:b], length, gram, size)
+                gone = removed(data, offsets, none if sieve else _marks(part.column("found"), a, b), copies[a:b], length, gram, size)
                 rows = []
                 for i in range(b - a):
                     own, cut = data[offsets[i] : offsets[i + 1]], gone[offsets[i] : offsets[i + 1]]
@@ -278,6 +287,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int =
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
     source = lean(docs).select(*columns, F.coalesce("text", F.lit("")).alias("text")).withColumn("__k", F.xxhash64("text"))
     rows = source.select(F.col("__k").alias("k"), "text").mapInArrow(_scan(length, gram), "h long, c long, k long")
+    rows = written(rows, "grams")
     found = rows.join(_repeated(rows, "h").select("h"), "h").distinct()
     found = written(found, "runs")
     both = found.join(_repeated(found, "h", "c"), ["h", "c"], "left")
@@ -303,9 +313,6 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int =
     marks = written(marks, "marks")
     # texts without marks needn't move
     sieve = Sieve(marks.select(F.col("__k").alias("k")))
-    packed, rest = (source.mapInArrow(squeeze(["__k", *columns], sieve, inside), f"`__k` long, {kinds}, z binary") for inside in (True, False))
-    packed = packed.join(marks, "__k", "left")
-    rest = rest.select("*", F.lit(None).cast("array<bigint>").alias("found"), F.lit(None).cast("boolean").alias("copied"))
+    packed = source.mapInArrow(squeeze(["__k", *columns], sieve), f"`__k` long, {kinds}, z binary").join(marks, "__k", "left")
     out = ", ".join([kinds, "n_bytes long, n_removed long, n_spans long", "text string" if text else "kept_sha256 string"])
-    finish = _finish(length, gram, part, columns, text)
-    return packed.mapInArrow(finish, out).unionByName(rest.mapInArrow(finish, out))
+    return packed.mapInArrow(_finish(length, gram, part, columns, text), out).unionByName(source.mapInArrow(_finish(length, gram, part, columns, text, sieve), out))
