@@ -52,9 +52,9 @@ def fields(local: Column) -> dict[str, Column]:
 class Moment:
     """The fields of a local time that specifiers write."""
 
-    def __init__(self, local: Column, utc: Column, nanos: Column | None, precision: int, zone: Column, offset: Column, held: Column | None = None):
+    def __init__(self, local: Column, utc: Column, nanos: Column | None, precision: int, zone: Column, offset: Column, held: dict[str, Column] | None = None):
         """held has the calendar's fields() of local, where they were computed before."""
-        get = fields(local) if held is None else {k: held[k] for k in FIELDS}
+        get = fields(local) if held is None else held
         self.day, self.second, self.year, self.month, self.dom, self.doy = (get[k] for k in FIELDS)
         self.utc, self.zone, self.offset = utc, zone, offset
         self.fraction = F.concat(F.lit("."), F.substring(F.lpad(num(nanos).cast("string"), 9, "0"), 1, precision)) if precision and nanos is not None else F.lit("")
@@ -193,12 +193,13 @@ def with_formatted(df: DataFrame, formats: dict[str, str], t: Number, zone: Look
     The lookup and the calendar's fields are projections of their own, so all stays within generated code however many formats there are.
     """
     t = num(t)
-    state = [t.alias("t"), t.alias("local"), F.lit("+00").alias("offset"), F.lit("UTC").alias("abbrev")] if zone is None else [t.alias("t"), zone.to_local(t).alias("local"), zone.offset(t).alias("offset"), zone.abbrev(t).alias("abbrev")]
-    df = df.withColumn("__at", F.struct(*state))
-    df = df.withColumn("__held", F.struct(*(c.alias(k) for k, c in fields(F.col("__at.local")).items())))
-    at = F.col("__at")
-    moment = Moment(at["local"], at["t"], nanos, precision, at["abbrev"], at["offset"] if zone is None else shortest_offset(at["offset"]), F.col("__held"))
-    return df.withColumns({to: _present(at["local"], compiled(fmt, moment)) for to, fmt in formats.items()}).drop("__at", "__held")
+    state = {"t": t, "local": t, "offset": F.lit("+00"), "abbrev": F.lit("UTC")} if zone is None else {"t": t, "local": zone.to_local(t), "offset": zone.offset(t), "abbrev": zone.abbrev(t)}
+    # plain columns, not structs, which Catalyst would take apart and compute again for every field
+    df = df.withColumns({f"__at_{k}": c for k, c in state.items()})
+    df = df.withColumns({f"__at_{k}": c for k, c in fields(F.col("__at_local")).items()})
+    at = {k: F.col(f"__at_{k}") for k in [*state, *FIELDS]}
+    moment = Moment(at["local"], at["t"], nanos, precision, at["abbrev"], at["offset"] if zone is None else shortest_offset(at["offset"]), at)
+    return df.withColumns({to: _present(at["local"], compiled(fmt, moment)) for to, fmt in formats.items()}).drop(*(f"__at_{k}" for k in at))
 
 
 def fmt_to(text: Column, count: int) -> Column:

@@ -178,9 +178,11 @@ def try_parse_s(fmt: str, text: Column) -> Column:
 
 def with_parsed(df: DataFrame, to: str, fmt: str, text: Column) -> DataFrame:
     """df with parse_s() in column to: the match is a projection of its own, so several columns stay within generated code."""
-    _, seconds, _ = _fields(fmt, text, F.col(f"__{to}.found"))
-    held = F.struct(text.alias("text"), text.rlike(f"(?s)^{compile_format(fmt).pattern}").alias("fits"), _found(fmt, text).alias("found"))
-    return df.withColumn(f"__{to}", held).withColumn(to, _strict(fmt, F.col(f"__{to}.text"), F.col(f"__{to}.fits"), seconds)).drop(f"__{to}")
+    # plain columns, not a struct: Catalyst would take a struct apart and repeat the match for every field
+    found, fits = f"__{to}_found", f"__{to}_fits"
+    _, seconds, _ = _fields(fmt, text, F.col(found))
+    held = df.withColumns({found: _found(fmt, text), fits: text.rlike(f"(?s)^{compile_format(fmt).pattern}")})
+    return held.withColumn(to, _strict(fmt, text, F.col(fits), seconds)).drop(found, fits)
 
 
 def parse_d(fmt: str, text: Column) -> Column:

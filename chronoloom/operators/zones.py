@@ -124,9 +124,9 @@ class Lookup:
 
     def get_info(self, t: Number) -> Column:
         """struct(begin, end, offset, save in minutes, abbrev)."""
-        r = self.sys_range(t)
-        info = F.struct(r["begin"].alias("begin"), r["end"].alias("end"), self.offset(t).alias("offset"), fdiv(self.save(t), 60).cast("int").alias("save"), self.abbrev(t).alias("abbrev"))
-        return F.when(r.isNotNull(), info)
+        t = num(t)
+        i = self.seq(t)
+        return F.when(i.isNotNull(), self._info(i, self._shift(t)))
 
     def next_transition(self, t: Number) -> Column:
         """The first change after t, or null."""
