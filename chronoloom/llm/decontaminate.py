@@ -8,7 +8,7 @@
 4. A candidate counts if the longest common subsequence of its words covers COVER of the item; from PARTIAL on it counts
    too if the item's answer, its last ANSWER of the words, is there with COVER.
 
-Words are runs of letters, digits and non-ASCII bytes, A-Z in lower case; so case, marks and white space do not matter.
+Words are runs of letters, digits and non-ASCII bytes, A-Z and the letters of Latin-1 in lower case; so case, marks and white space do not matter.
 Null text counts as empty. Items without words match nothing, items of fewer than SHORT words must be covered in full. Repeated items
 match alike, repeated documents give repeated rows. Extra columns are ignored.
 """
@@ -41,12 +41,16 @@ BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Fal
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, for each row the place of its first word and one more at the end)."""
     full = ~BREAK[data]
+    low = LOWER[data]
+    # capital letters of Latin-1, two bytes each in UTF-8; the multiplication sign among them has no small form
+    second = (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97) & (low[:-1] == 0xC3)
+    low[1:][second] += 0x20
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = full[:-1], full[1:]
     inner = offsets[(offsets > 0) & (offsets < len(data))]
     before[inner], after[inner - 1] = False, False
     starts, ends = np.flatnonzero(full & ~before), np.flatnonzero(full & ~after) + 1
-    return span_hash(prefix_hash(LOWER[data]), starts, ends), np.searchsorted(starts, offsets)
+    return span_hash(prefix_hash(low), starts, ends), np.searchsorted(starts, offsets)
 
 
 def _places(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:

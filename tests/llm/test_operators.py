@@ -398,6 +398,16 @@ def test_decontaminate(spark):
 
 
 
+def test_tokens_ignore_case_and_marks():
+    from chronoloom.llm.common import texts as chunks
+    import pyarrow as pa
+
+    for a, b in (("Éléphant ÑAME × ÀÞ", "éléphant, ñame; × àþ"), ("A-b", "a B"), ("", " ")):
+        (_, _, x, i), = chunks(pa.array([a]))
+        (_, _, y, j), = chunks(pa.array([b]))
+        assert decontaminate.tokens(x, i)[0].tolist() == decontaminate.tokens(y, j)[0].tolist()
+
+
 def test_basis_spans_the_rows(spark):
     """At full rank the projection keeps all cosines."""
     items = [prose(2000 + i, 20, 60) for i in range(30)]
