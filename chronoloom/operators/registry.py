@@ -77,7 +77,14 @@ class Registry:
         return {a: c for a in sorted(self.db.links) if (c := self.db.canonical(a))}
 
     def try_locate(self, name: str) -> Zone | None:
-        return Zone(name, self.db) if self.db.canonical(name) else None
+        """The zone of the database, else of a compiled file in TZDIR or the system's folder."""
+        if self.db.canonical(name):
+            return Zone(name, self.db)
+        folder = Path(os.environ.get("TZDIR", "/usr/share/zoneinfo"))
+        at = folder / name
+        if name and folder in at.resolve().parents and at.is_file() and (raw := at.read_bytes()).startswith(b"TZif"):
+            return Zone.from_file(raw, name)
+        return None
 
     def locate(self, name: str) -> Zone:
         if zone := self.try_locate(name):

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions.civil import CYCLE_SECONDS, Number, fdiv, num, rem
-from chronoloom.plans.periods import AMBIGUOUS, G, NONEXISTENT, UNIQUE, Table, table, tables
+from chronoloom.plans.periods import AMBIGUOUS, G, NONEXISTENT, UNIQUE, Table, periods_of_file, table, table_of, tables
 from chronoloom.plans.rules import HIGHEST, LOWEST
 from chronoloom.sources.tzdb import Database, load
 
@@ -196,12 +196,14 @@ class Lookup:
 class Zone(Lookup):
     """The operators for one zone, with the arrays as literals."""
 
-    def __init__(self, name: str, db: Database | None = None):
-        db = db or database()
-        own = db.canonical(name)
-        if own is None:
-            raise UnknownZone(f"no zone or link {name} in version {db.version}")
-        self.table: Table = table(db, own)
+    def __init__(self, name: str, db: Database | None = None, own_table: Table | None = None):
+        if own_table is None:
+            db = db or database()
+            own = db.canonical(name)
+            if own is None:
+                raise UnknownZone(f"no zone or link {name} in version {db.version}")
+            own_table = table(db, own)
+        self.table: Table = own_table
         kinds = {"begin": "bigint", "offset": "int", "stdoff": "int", "abbr": "string", "base": "int", "lbegin": "bigint", "kind": "int", "off_first": "int", "off_second": "int", "jump": "bigint", "seq_first": "int", "seq_second": "int", "lbase": "int"}
         kept: dict[str, Column] = {}
 
@@ -217,6 +219,12 @@ class Zone(Lookup):
         super().__init__(column, self.table.steps, self.table.lsteps)
 
 
+    @classmethod
+    def from_file(cls, raw: bytes, name: str) -> Zone:
+        """A zone of a TZif file's bytes."""
+        return cls(name, own_table=table_of(periods_of_file(raw, name)))
+
+
 class Zoned(Lookup):
     """The operators for a column of zone names; df has the joined tables until drop()."""
 

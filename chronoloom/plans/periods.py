@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronoloom.functions.civil import CYCLE_SECONDS
 from chronoloom.plans.rules import HIGHEST, LOWEST, State, cycle_time, states
+from chronoloom.sources import posix_tz, tzif
 from chronoloom.sources.tzdb import Database
 
 G = 23
@@ -52,6 +53,15 @@ def periods(db: Database, zone: str) -> Periods:
     return Periods(zone, [b for b, _ in found], [s for _, s in found], cycle_time(db, entries) if forever else None)
 
 
+def periods_of_file(raw: bytes, zone: str) -> Periods:
+    """Periods of a TZif file, continued by its footer."""
+    z = tzif.parse(raw)
+    forever = bool(z.footer) and not posix_tz.parse(z.footer).permanent()
+    cycle = max(0, (z.times[-1] if z.times else 0) + 2 * 366 * 86400)
+    found = z.states_until(cycle + CYCLE_SECONDS + 2 * 366 * 86400) if forever else z.states()
+    return Periods(zone, [b for b, _ in found], [s for _, s in found], cycle if forever else None)
+
+
 def segments(p: Periods) -> list[tuple[int, int, int, int, int, int, int, int]]:
     """(lbegin, lend, kind, off_first, off_second, jump, seq_first, seq_second) in order of local time.
 
@@ -109,7 +119,10 @@ class Table:
 
 
 def table(db: Database, zone: str) -> Table:
-    p = periods(db, zone)
+    return table_of(periods(db, zone))
+
+
+def table_of(p: Periods) -> Table:
     found = segments(p)
     lbegin, _, kind, first, second, jump, seq1, seq2 = (list(x) for x in zip(*found, strict=True))
     return Table(p.zone, p.cycle, p.limit, p.begins, [s.walloff for s in p.states], [s.stdoff for s in p.states], [s.abbr for s in p.states], *index(p.begins), lbegin, kind, first, second, jump, seq1, seq2, *index(lbegin))

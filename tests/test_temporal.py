@@ -263,7 +263,7 @@ def test_posix_states():
         posix_tz.parse("12")
 
 
-def test_tzif(spark, tmp_path):
+def test_tzif(spark, tmp_path, monkeypatch):
     import tzdata
 
     folder = f"{tzdata.__path__[0]}/zoneinfo/America"
@@ -276,6 +276,15 @@ def test_tzif(spark, tmp_path):
         theirs = [(b, s.walloff, s.abbr) for b, s in z.states_until(epoch("2060-01-01"))]
         merged = lambda xs: [x for i, x in enumerate(xs) if i == 0 or x[1:] != xs[i - 1][1:]]
         assert merged(mine) == merged(theirs)
+    file = Zone.from_file(open(f"{folder}/New_York", "rb").read(), "Mine")
+    text, t = Zone("America/New_York"), F.col("id")
+    same = lambda f: (f(file) == f(text))
+    times = spark.range(epoch("1800-01-01"), epoch("2900-01-01"), 7 * 86400 + 1801)
+    assert times.where(~(same(lambda z: z.offset(t)) & same(lambda z: z.abbrev(t)) & same(lambda z: z.to_sys(t)))).count() == 0
+    (tmp_path / "My").mkdir()
+    (tmp_path / "My" / "Zone").write_bytes(open(f"{folder}/New_York", "rb").read())
+    monkeypatch.setenv("TZDIR", str(tmp_path))
+    assert Registry().locate("My/Zone").table.zone == "My/Zone" and Registry().try_locate("My/Nothing") is None
     with pytest.raises(tzif.TzifError):
         tzif.parse(b"nothing")
 
