@@ -3,10 +3,11 @@
 A window is one word without the marks around it. It is recoded before compression: every byte becomes the CRC-32 of the
 word up to it, so a match with a dictionary is a common beginning of words, and lengths tell short words apart. The
 difference of the two compressed lengths says how much better the toxic dictionary knows the word. A document's features are
-its largest differences and how many exceed CLEAR; a calibrated logistic turns them into a score.
+its largest differences, how many (and how many different words) reach CLEAR, and these against its number of words; a calibrated
+logistic turns them into a score.
 
 The dictionaries hold the words of the labelled sample, the most frequent last (nearest to the window): of toxic documents only words
-with a beginning that is RATIO times as frequent there as in ordinary ones. At most TOXIC and ORDINARY labelled documents are
+with a beginning that SHARE of them have (LEAST at least) and that is RATIO times as frequent there as in ordinary ones. At most TOXIC and ORDINARY labelled documents are
 used, those of smallest hash of doc_id, two thirds for dictionaries and a third to calibrate; the calibration
 weighs both by their counts among all labels. Every document is scored on its whole text.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from chronoloom.llm.common import lean
 
 TOXIC, ORDINARY = 3000, 6000
-RATIO, SHARE, LEAST, SHORTEST = 8.0, 0.01, 3, 4
+RATIO, SHARE, LEAST, SHORTEST = 8.0, 0.02, 5, 4
 WORDS = 20_000
 LEVEL = 12
 CLEAR, CLIP = 8, 16
@@ -76,16 +77,21 @@ class Distance:
 
     def features(self, text: str | None) -> list[float]:
         get, of = self.kept.get, self.of
-        found = []
-        for w in spelled(text):
+        found, told, words = [], set(), spelled(text)
+        for w in words:
             d = get(w)
             if d is None:
                 d = of(w)
             if d > 0:
                 found.append(d)
+                if d >= CLEAR:
+                    told.add(w)
         found.sort(reverse=True)
-        clear = sum(d >= CLEAR for d in found)
-        return [1.0, found[0] / CLIP if found else 0.0, sum(found[:3]) / (3 * CLIP), float(np.log1p(clear)), float(min(clear, 2)) / 2]
+        clear, n = sum(d >= CLEAR for d in found), len(words)
+        strength = [found[0] / CLIP if found else 0.0, sum(found[:3]) / (3 * CLIP)]
+        counts = [float(np.log1p(clear)), min(clear, 2) / 2, float(np.log1p(len(told)))]
+        # a long text has more words that are like toxic ones by chance
+        return [1.0, *strength, *counts, float(np.log1p(n)) / 8, clear / (n + 10) ** 0.5, 10 * clear / (n + 10)]
 
 
 def books(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
@@ -135,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: int
     y = np.array([r["label"] for r in rest], float)
     if not len(y) or y.min() == y.max():
         seen = {r["label"] for r in rows}
-        return *pairs, np.array([40.0 if seen == {1} else -40.0, 0, 0, 0, 0])
+        return *pairs, np.array([40.0 if seen == {1} else -40.0] + [0.0] * 8)
     distance = Distance(*pairs)
     x = np.array([distance.features(r["text"]) for r in rest])
     weight = np.where(y == 1, total.get(1, 0) / y.sum(), total.get(0, 0) / (len(y) - y.sum()))
