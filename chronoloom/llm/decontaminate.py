@@ -1,8 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Words of the benchmark make the vocabulary; Spark counts the documents that have each (over all documents).
-2. TF-IDF rows of the benchmark's passages are factorised by a distributed randomised SVD: tasks multiply their rows with a
-   test matrix and add up, once to sample the range and once more to refine it; the driver only sees vocabulary x rank.
+1. The benchmark is taken in passes of about PASS items. Words of a pass's items make its vocabulary, all of them; Spark counts the documents
+   that have each (over all documents).
+2. TF-IDF rows of every RANK items are factorised by a distributed randomised SVD: tasks multiply their rows with a test matrix and
+   add up, once to sample the range and once more to refine it; the driver only sees vocabulary x rank. As a block has no more items than
+   the basis has directions, the basis spans them all and cosines are exact, however many items there are.
 3. Every document is read in overlapping passages of two widths. A passage whose TF-IDF weight lies outside the vocabulary so far
    that no item can reach the cosine is left out (Cauchy-Schwarz); the others are projected and compared with all items.
 4. A candidate counts if the longest common subsequence of its words covers COVER of the item; from PARTIAL on it counts
@@ -15,7 +17,7 @@ match alike, repeated documents give repeated rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,10 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm.common import LOWER, U64, lean, prefix_hash, signed, small, span_hash, texts
 
+#: Items of a block, which has a basis of its own with as many directions.
 RANK = 256
-#: Words of the vocabulary: those that fewest items have go first out of it.
-VOCABULARY = 1 << 16
-#: Items that one pass over the documents compares; larger benchmarks take several passes.
-BLOCK = 20_000
+#: Items that one pass over the documents compares, in blocks; larger benchmarks take several passes.
+PASS = 4 * RANK
 BLOCKS_LENGTH = 16
 WIDTHS = (1, 2, 4)
 COSINE = 0.25
@@ -61,13 +62,6 @@ def _places(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == words, at, -1)
 
 
-def _vocabulary(batches):
-    for batch in batches:
-        for _, _, data, offsets in texts(batch.column("text")):
-            words, _ = tokens(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(words))], ["w"])
-
-
 def _counted(vocabulary: np.ndarray):
     def run(batches):
         total, n = np.zeros(len(vocabulary), np.int64), 0
@@ -117,7 +111,7 @@ def _sketch(vocabulary: np.ndarray, idf: np.ndarray, test: np.ndarray):
 def basis(items: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """Right singular vectors (vocabulary x rank) of the TF-IDF rows of items(text)."""
 
-    def product(test: np.ndarray) -> np.ndarray:
+    def multiplied(test: np.ndarray) -> np.ndarray:
         got = items.select("text").mapInArrow(_sketch(vocabulary, idf, test), "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toArrow()
         out = np.zeros(test.shape)
         out[got["i"].to_numpy(), got["j"].to_numpy()] = got["x"].to_numpy()
@@ -127,8 +121,8 @@ def basis(items: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, rank: int =
     if not rank:
         return np.zeros((len(vocabulary), 0))
     test = np.random.Generator(np.random.PCG64(7)).standard_normal((len(vocabulary), rank))
-    q = np.linalg.qr(product(test))[0]
-    z = product(q)
+    q = np.linalg.qr(multiplied(test))[0]
+    z = multiplied(q)
     values, turn = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
     keep = values > 1e-9 * max(values.max(), 1e-300)
     return q @ turn[:, keep]
@@ -157,28 +151,34 @@ def confirmed(item: list[int], window: list[int]) -> tuple[float, float] | None:
     return (share, part) if share >= COVER or part >= COVER else None
 
 
-def _search(vocabulary: np.ndarray, idf: np.ndarray, rare: float, latent: np.ndarray, ids: list, items: list[list[int]], cosine: float):
-    weight = idf**2
-    # projection of a word: a row for every word of the vocabulary, and zeros for others
-    rows = np.vstack([idf[:, None] * latent, np.zeros((1, latent.shape[1]))]).astype(np.float32)
+def _projected(own: np.ndarray, idf: np.ndarray, latent: np.ndarray, block: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each word of a pass in the block's rows, projections of words and zeros for others, projections of the block's items)."""
+    rows = np.vstack([idf[own, None] * latent, np.zeros((1, latent.shape[1]))]).astype(np.float32)
+    places = np.full(len(idf) + 1, len(own))
+    places[own] = np.arange(len(own))
+    matrix = np.zeros((len(block), latent.shape[1]), np.float32)
+    for i, at in enumerate(block):
+        some, tf = np.unique(at, return_counts=True)
+        matrix[i] = rows[places[at]].sum(0) / max(1e-9, np.sqrt(((tf * idf[some]) ** 2).sum()))
+    return places, rows, matrix
+
+
+def _search(vocabulary: np.ndarray, idf: np.ndarray, rare: float, blocks: list[tuple], ids: list[list], items: list[list[int]], cosine: float):
+    """blocks: the items of each, as indexes of items, and what _projected() gives."""
+    weight = np.append(idf**2, rare**2)
 
     def run(batches):
-        if items:
-            matrix = np.zeros((len(items), latent.shape[1]), np.float32)
-            for i, item in enumerate(items):
-                at = _places(np.array(item, np.int64).view(U64), vocabulary)
-                matrix[i] = rows[at[at >= 0]].sum(0) if (at >= 0).any() else 0
-                tf = Counter(at[at >= 0].tolist())
-                matrix[i] /= max(1e-9, np.sqrt(sum((n * idf[a]) ** 2 for a, n in tf.items())))
         for batch in batches:
             for a, b, data, offsets in texts(batch.column("text")):
                 words, first = tokens(data, offsets)
                 at = _places(words, vocabulary)
-                inside, total = np.where(at >= 0, weight[at] if len(weight) else 0, 0), np.where(at >= 0, weight[at] if len(weight) else 0, rare**2)
-                known, norm = np.concatenate([[0], np.cumsum(inside)]), np.concatenate([[0], np.cumsum(total)])
+                norm = np.concatenate([[0], np.cumsum(weight[at])])
                 best: dict[tuple[int, int], tuple] = {}
                 counts = np.diff(first)
-                for width in WIDTHS if items else ():
+                for (members, places, rows, matrix), width in product(blocks, WIDTHS):
+                    if width == WIDTHS[0]:
+                        place = places[at]
+                        known = np.concatenate([[0], np.cumsum(np.where(place < len(rows) - 1, weight[at], 0))])
                     # passages of width steps, one step apart (half of it for the wider ones); the last may be shorter
                     size, stride = width * BLOCKS_LENGTH, width * BLOCKS_LENGTH // 2
                     n = np.maximum(1, -(-np.maximum(counts - size, 0) // stride) + 1) * (counts > 0)
@@ -191,20 +191,20 @@ def _search(vocabulary: np.ndarray, idf: np.ndarray, rare: float, latent: np.nda
                         some = hope[k : k + 512]
                         lengths = end[some] - start[some]
                         each = np.repeat(start[some], lengths) + np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                        p = np.add.reduceat(rows[at[each]], np.cumsum(lengths) - lengths, axis=0)
+                        p = np.add.reduceat(rows[place[each]], np.cumsum(lengths) - lengths, axis=0)
                         close = (p @ matrix.T) / np.sqrt(all_[some])[:, None]
-                        for x, i in zip(*np.nonzero(close >= cosine), strict=True):
-                            s, e, d = start[some[x]], end[some[x]], doc[some[x]]
+                        for x, y in zip(*np.nonzero(close >= cosine), strict=True):
+                            s, e, d, i = start[some[x]], end[some[x]], doc[some[x]], members[y]
                             wide = len(items[i])
                             window = signed(words[max(first[d], s - wide) : min(first[d + 1], e + wide)]).tolist()
                             if (d, i) in best and best[d, i][1] >= COVER:
                                 continue
                             if (hit := confirmed(items[i], window)) and ((d, i) not in best or best[d, i][1] < hit[0]):
-                                best[d, i] = (float(close[x, i]), *hit)
+                                best[d, i] = (float(close[x, y]), *hit)
                 if best:
-                    keys = list(best)
-                    docs = batch.column("doc_id").slice(a, b - a).take(pa.array([int(d) for d, _ in keys]))
-                    yield pa.RecordBatch.from_arrays([docs, pa.array([ids[i] for _, i in keys], pa.int64()), *(pa.array([best[k][j] for k in keys], pa.float64()) for j in range(3))], ["doc_id", "item_id", "cosine", "covered", "answer"])
+                    keys = [(d, i, item) for d, i in best for item in ids[i]]
+                    docs = batch.column("doc_id").slice(a, b - a).take(pa.array([int(d) for d, *_ in keys]))
+                    yield pa.RecordBatch.from_arrays([docs, pa.array([k[2] for k in keys], pa.int64()), *(pa.array([best[k[:2]][j] for k in keys], pa.float64()) for j in range(3))], ["doc_id", "item_id", "cosine", "covered", "answer"])
 
     return run
 
@@ -215,29 +215,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, item_id long, cosine double, covered double, answer double"
-    most = items.mapInArrow(_vocabulary, "w long").groupBy("w").count().orderBy(F.desc("count"), "w").limit(VOCABULARY).select("w").toArrow()["w"].to_numpy()
-    vocabulary = np.sort(most.astype(np.int64).view(U64))
-    got = docs.select("text").mapInArrow(_counted(vocabulary), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    at, n = got["at"].to_numpy(), got["n"].to_numpy()
-    count = int(n[at < 0].sum())
-    frequency = np.zeros(len(vocabulary))
-    frequency[at[at >= 0]] = n[at >= 0]
-    rare = float(np.log1p(max(1, count)))
-    idf = np.log((1 + count) / (1 + frequency)) + 0.01
-    latent = basis(items, vocabulary, idf, rank)
-    blocks = [items] if small(items, BLOCK) else [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-items.count() // (BLOCK // 2)))) == k) for k in range(-(-items.count() // (BLOCK // 2)))]
-    out = spark.createDataFrame([], schema)
-    for block in blocks:
-        known = block.toArrow()
-        words, ids = [], []
+    passes = 1 if small(items, PASS) else -(-items.count() // PASS)
+    out = None
+    for k in range(passes):
+        # items of equal words are compared as one
+        slots: dict[tuple, list] = {}
+        strings = []
+        known = (items if passes == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)).toArrow()
         for a, _, data, offsets in texts(known["text"]):
             hashes, first = tokens(data, offsets)
             for i in range(len(first) - 1):
                 if first[i + 1] > first[i]:
-                    words.append(signed(hashes[first[i] : first[i + 1]]).tolist())
-                    ids.append(known["item_id"][a + i].as_py())
-        found = docs.select("doc_id", "text").mapInArrow(_search(vocabulary, idf, rare, latent, ids, words, cosine), schema)
-        out = found if len(blocks) == 1 else out.unionByName(found)
+                    same = slots.setdefault(tuple(signed(hashes[first[i] : first[i + 1]]).tolist()), [])
+                    if not same:
+                        strings.append(known["text"][a + i].as_py())
+                    same.append(known["item_id"][a + i].as_py())
+        words = [list(w) for w in slots]
+        vocabulary = np.unique(np.array([w for item in words for w in item], np.int64).view(U64))
+        got = docs.select("text").mapInArrow(_counted(vocabulary), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        at, n = got["at"].to_numpy(), got["n"].to_numpy()
+        count = int(n[at < 0].sum())
+        frequency = np.zeros(len(vocabulary))
+        frequency[at[at >= 0]] = n[at >= 0]
+        rare = float(np.log1p(max(1, count)))
+        idf = np.log((1 + count) / (1 + frequency)) + 0.01
+        blocks = []
+        for i in range(0, len(words), rank):
+            members = list(range(i, min(i + rank, len(words))))
+            block = [_places(np.array(words[j], np.int64).view(U64), vocabulary) for j in members]
+            own = np.unique(np.concatenate(block))
+            latent = basis(spark.createDataFrame([(strings[j],) for j in members], "text string"), vocabulary[own], idf[own], len(members))
+            blocks.append((members, *_projected(own, idf, latent, block)))
+        found = docs.select("doc_id", "text").mapInArrow(_search(vocabulary, idf, rare, blocks, list(slots.values()), words, cosine), schema)
+        out = found if out is None else out.unionByName(found)
     return out.withColumn("contaminated", F.lit(True))
 
 

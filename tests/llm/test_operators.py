@@ -397,6 +397,22 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(empty(spark), benchmark).count() == 0 and decontaminate.contaminated(docs(spark, texts), benchmark.limit(0)).count() == 0
 
 
+def test_decontaminate_many_items(spark):
+    """Recall doesn't fall with the number of items: brute force finds the same pairs."""
+    r = random.Random(8)
+    items = [prose(5000 + i, r.randrange(15, 60), 6000) for i in range(2000)]
+    texts = [prose(9000 + i, 150, 6000) for i in range(60)]
+    want = set()
+    for d in range(60):
+        i = d * 33
+        words = [w if d % 2 or r.random() > 0.2 else "other" for w in items[i].split()]
+        texts[d] = " ".join([*texts[d].split()[:70], *words, *texts[d].split()[70:]])
+        if decontaminate.confirmed(items[i].split(), texts[d].split()):
+            want.add((d + 1, i))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(docs(spark, texts), benchmark).collect()}
+    assert len(want) > 45 and got == want
+
 
 def test_tokens_ignore_case_and_marks():
     from chronoloom.llm.common import texts as chunks
