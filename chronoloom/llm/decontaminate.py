@@ -1,13 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. The benchmark is taken in passes of about PASS items. Words of a pass's items make its vocabulary, all of them; Spark counts the documents
+1. Items of over PART words are split into parts that overlap by half, so that items and passages have like lengths. The benchmark is
+   taken in passes of about PASS parts, an item's parts together. Words of a pass's items make its vocabulary, all of them; Spark counts the documents
    that have each (over all documents).
-2. TF-IDF rows of every RANK items are factorised by a distributed randomised SVD: tasks multiply their rows with a test matrix and
-   add up, once to sample the range and once more to refine it; the driver only sees vocabulary x rank. As a block has no more items than
+2. TF-IDF rows of every RANK parts are factorised by a distributed randomised SVD: tasks multiply their rows with a test matrix and
+   add up, once to sample the range and once more to refine it; the driver only sees vocabulary x rank. As a block has no more parts than
    the basis has directions, the basis spans them all and cosines are exact, however many items there are.
 3. Every document is read in overlapping passages of two widths. A passage whose TF-IDF weight lies outside the vocabulary so far
-   that no item can reach the cosine is left out (Cauchy-Schwarz); the others are projected and compared with all items.
-4. A candidate counts if the longest common subsequence of its words covers COVER of the item; from PARTIAL on it counts
+   that no item can reach the cosine is left out (Cauchy-Schwarz); the others are projected and compared with all parts.
+4. A candidate counts if the longest common subsequence of the words around it covers COVER of the whole item; from PARTIAL on it counts
    too if the item's answer, its last ANSWER of the words, is there with COVER.
 
 Words are runs of letters, digits and non-ASCII bytes, A-Z and the letters of Latin-1 in lower case; so case, marks and white space do not matter.
@@ -24,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import LOWER, U64, lean, prefix_hash, signed, small, span_hash, texts
+from chronoloom.llm.common import LOWER, U64, lean, prefix_hash, signed, span_hash, texts
 
-#: Items of a block, which has a basis of its own with as many directions.
+#: Parts of items in a block, which has a basis of its own with as many directions.
 RANK = 256
-#: Items that one pass over the documents compares, in blocks; larger benchmarks take several passes.
+#: Parts that one pass over the documents compares, in blocks; larger benchmarks take several passes.
 PASS = 4 * RANK
 BLOCKS_LENGTH = 16
 WIDTHS = (1, 2, 4)
+#: Words of an item's part: as many as the widest passage has.
+PART = WIDTHS[-1] * BLOCKS_LENGTH
 COSINE = 0.25
 COVER, PARTIAL, ANSWER, SHORT = 0.75, 0.5, 0.3, 8
 
@@ -62,6 +65,17 @@ def _places(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == words, at, -1)
 
 
+def parts(n: int) -> list[tuple[int, int]]:
+    """(start, end) of the parts of an item of n words; the last ends with the item."""
+    return [(a, a + PART) for a in range(0, n - PART, PART // 2)] + [(max(0, n - PART), n)]
+
+
+def _n_parts(batches):
+    for batch in batches:
+        n = sum(len(parts(int(n))) for _, _, data, offsets in texts(batch.column("text")) for n in np.diff(tokens(data, offsets)[1]) if n)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+
 def _counted(vocabulary: np.ndarray):
     def run(batches):
         total, n = np.zeros(len(vocabulary), np.int64), 0
@@ -152,7 +166,7 @@ def confirmed(item: list[int], window: list[int]) -> tuple[float, float] | None:
 
 
 def _projected(own: np.ndarray, idf: np.ndarray, latent: np.ndarray, block: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of each word of a pass in the block's rows, projections of words and zeros for others, projections of the block's items)."""
+    """(place of each word of a pass in the block's rows, projections of words and zeros for others, projections of the block's parts)."""
     rows = np.vstack([idf[own, None] * latent, np.zeros((1, latent.shape[1]))]).astype(np.float32)
     places = np.full(len(idf) + 1, len(own))
     places[own] = np.arange(len(own))
@@ -164,7 +178,7 @@ def _projected(own: np.ndarray, idf: np.ndarray, latent: np.ndarray, block: list
 
 
 def _search(vocabulary: np.ndarray, idf: np.ndarray, rare: float, blocks: list[tuple], ids: list[list], items: list[list[int]], cosine: float):
-    """blocks: the items of each, as indexes of items, and what _projected() gives."""
+    """blocks: for the parts of each the indexes of their items, and what _projected() gives."""
     weight = np.append(idf**2, rare**2)
 
     def run(batches):
@@ -174,6 +188,7 @@ def _search(vocabulary: np.ndarray, idf: np.ndarray, rare: float, blocks: list[t
                 at = _places(words, vocabulary)
                 norm = np.concatenate([[0], np.cumsum(weight[at])])
                 best: dict[tuple[int, int], tuple] = {}
+                tried: set[tuple[int, int, int, int]] = set()
                 counts = np.diff(first)
                 for (members, places, rows, matrix), width in product(blocks, WIDTHS):
                     if width == WIDTHS[0]:
@@ -196,9 +211,16 @@ def _search(vocabulary: np.ndarray, idf: np.ndarray, rare: float, blocks: list[t
                         for x, y in zip(*np.nonzero(close >= cosine), strict=True):
                             s, e, d, i = start[some[x]], end[some[x]], doc[some[x]], members[y]
                             wide = len(items[i])
-                            window = signed(words[max(first[d], s - wide) : min(first[d + 1], e + wide)]).tolist()
                             if (d, i) in best and best[d, i][1] >= COVER:
                                 continue
+                            # many parts of a long item lead to nearly the same window, so these begin and end at multiples of a quarter of it
+                            step = wide // 4 if wide > PART else 1
+                            s, e = (s - first[d] - wide) // step * step + first[d], -(-(e - first[d] + wide) // step) * step + first[d]
+                            s, e = max(first[d], s), min(first[d + 1], e)
+                            if (d, i, s, e) in tried:
+                                continue
+                            tried.add((d, i, s, e))
+                            window = signed(words[s:e]).tolist()
                             if (hit := confirmed(items[i], window)) and ((d, i) not in best or best[d, i][1] < hit[0]):
                                 best[d, i] = (float(close[x, y]), *hit)
                 if best:
@@ -215,20 +237,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, item_id long, cosine double, covered double, answer double"
-    passes = 1 if small(items, PASS) else -(-items.count() // PASS)
+    total = items.mapInArrow(_n_parts, "n long").agg(F.sum("n")).first()[0] or 0
+    passes = max(1, -(-total // PASS))
     out = None
     for k in range(passes):
         # items of equal words are compared as one
         slots: dict[tuple, list] = {}
-        strings = []
         known = (items if passes == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)).toArrow()
         for a, _, data, offsets in texts(known["text"]):
             hashes, first = tokens(data, offsets)
             for i in range(len(first) - 1):
                 if first[i + 1] > first[i]:
                     same = slots.setdefault(tuple(signed(hashes[first[i] : first[i + 1]]).tolist()), [])
-                    if not same:
-                        strings.append(known["text"][a + i].as_py())
                     same.append(known["item_id"][a + i].as_py())
         words = [list(w) for w in slots]
         vocabulary = np.unique(np.array([w for item in words for w in item], np.int64).view(U64))
@@ -240,12 +260,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
         rare = float(np.log1p(max(1, count)))
         idf = np.log((1 + count) / (1 + frequency)) + 0.01
         blocks = []
-        for i in range(0, len(words), rank):
-            members = list(range(i, min(i + rank, len(words))))
-            block = [_places(np.array(words[j], np.int64).view(U64), vocabulary) for j in members]
+        places = [_places(np.array(w, np.int64).view(U64), vocabulary) for w in words]
+        cut = [(j, places[j][x:y]) for j in range(len(words)) for x, y in parts(len(words[j]))]
+        for i in range(0, len(cut), rank):
+            block = [p for _, p in cut[i : i + rank]]
             own = np.unique(np.concatenate(block))
-            latent = basis(spark.createDataFrame([(strings[j],) for j in members], "text string"), vocabulary[own], idf[own], len(members))
-            blocks.append((members, *_projected(own, idf, latent, block)))
+            # the basis reads text, so the place of a word stands for it
+            named = spark.createDataFrame([(" ".join(map(str, p.tolist())),) for p in block], "text string")
+            (_, _, data, offsets), = texts(pa.array([" ".join(map(str, own.tolist()))]))
+            names = tokens(data, offsets)[0]
+            order = np.argsort(names)
+            latent = basis(named, names[order], idf[own][order], len(block))[np.argsort(order)]
+            blocks.append(([j for j, _ in cut[i : i + rank]], *_projected(own, idf, latent, block)))
         found = docs.select("doc_id", "text").mapInArrow(_search(vocabulary, idf, rare, blocks, list(slots.values()), words, cosine), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumn("contaminated", F.lit(True))

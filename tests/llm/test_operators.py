@@ -414,6 +414,21 @@ def test_decontaminate_many_items(spark):
     assert len(want) > 45 and got == want
 
 
+def test_decontaminate_long_items(spark):
+    """Items far longer than a passage, copied and with a fifth of the words replaced; a quarter of an item is no copy."""
+    r = random.Random(9)
+    items = [prose(7000 + i, n, 3000) for i, n in enumerate([65, 300, 600, 1200, 2000, 5000])]
+    texts = []
+    for i, item in enumerate(items):
+        words = item.split()
+        for some in (words, [w if r.random() > 0.2 else f"x{k}" for k, w in enumerate(words)], words[: len(words) // 4]):
+            texts.append(" ".join([prose(7100 + i, 150, 3000), *some, prose(7200 + i, 150, 3000)]))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(docs(spark, texts), benchmark).collect()}
+    want = {(d, i) for d, t in enumerate(texts, 1) for i, item in enumerate(items) if decontaminate.confirmed(item.split(), t.split())}
+    assert got == want and want >= {(3 * i + k, i) for i in range(1, len(items)) for k in (1, 2)}
+
+
 def test_tokens_ignore_case_and_marks():
     from chronoloom.llm.common import texts as chunks
     import pyarrow as pa
