@@ -1,7 +1,8 @@
 """Main text of web pages by consensus host paths.
 
 First every page scores its containers: text that stands in a container's own blocks counts whole, that of child containers
-half, both less the share inside links. The best container votes for its path of tag.class steps, digits generalised. Spark
+half, both less the share inside links. From the best container it goes up: to the article or main element around it, else to ancestors that
+at most double the text, as long as what is added isn't mostly links; never to the body or out of an article. The container reached votes for its path of tag.class steps, digits generalised. Spark
 sums the votes of each host; paths with WINNING of a host's votes win. Then every page is extracted again: all containers on the best of its
 host's winning paths that it has, else the page's own best container. Boilerplate elements, by tag, role or words of class and id, are left
 out wherever they stand, so no path can bring them back.
@@ -46,11 +47,11 @@ NEGATED = frozenset("no with has without".split())
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "score", "container", "off", "link")
+    __slots__ = ("tag", "path", "parent", "score", "container", "off", "link", "size", "linked")
 
     def __init__(self, tag, path, parent, container, off, link):
         self.tag, self.path, self.parent, self.container, self.off, self.link = tag, path, parent, container, off, link
-        self.score = 0.0
+        self.score, self.size, self.linked = 0.0, 0, 0
 
 
 def _noise(tag: str, attributes: dict[str, str]) -> bool:
@@ -72,7 +73,7 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
 
 
 def parsed(source: str) -> tuple[list[tuple[Node, str]], list[Node]]:
-    """(blocks outside boilerplate: container and text, containers) in page order; containers have their scores."""
+    """(blocks outside boilerplate: container and text, containers) in page order; containers have their scores and sizes."""
     root = Node("", "", None, None, False, False)
     root.container = root
     stack, blocks, containers = [root], [], [root]
@@ -86,6 +87,8 @@ def parsed(source: str) -> tuple[list[tuple[Node, str]], list[Node]]:
                 gain = max(0.0, len(text) - 1.5 * linked[0])
                 blocks.append((node, text))
                 node.score += gain
+                node.size += len(text)
+                node.linked += linked[0]
                 if node.parent is not None:
                     node.parent.container.score += gain / 2
             words.clear()
@@ -160,6 +163,11 @@ def parsed(source: str) -> tuple[list[tuple[Node, str]], list[Node]]:
                 containers.append(node)
         stack.append(node)
     flush()
+    # from here on, of all text below
+    for node in reversed(containers[1:]):
+        up = node.parent.container
+        up.size += node.size
+        up.linked += node.linked
     return blocks, containers
 
 
@@ -171,7 +179,15 @@ BONUS = {"article": 1.6, "main": 1.4}
 
 
 def _best(containers: list[Node]) -> Node:
-    return max(containers, key=lambda n: n.score * BONUS.get(n.tag, 1.0))
+    best = up = max(containers, key=lambda n: n.score * BONUS.get(n.tag, 1.0))
+    plain = True
+    while up.tag != "article" and up.parent is not None and (up := up.parent.container).tag not in ("", "html", "body"):
+        poor = 1.5 * (up.linked - best.linked) <= up.size - best.size
+        if up.tag in ("article", "main"):
+            best = up if poor else best
+        elif plain := plain and poor and up.size <= 2 * best.size:
+            best = up
+    return best
 
 
 def inside(blocks: list[tuple[Node, str]], chosen: set[Node]) -> str:

@@ -288,6 +288,29 @@ def test_html_host_path_wins(spark):
     assert got[9] == "short story"
 
 
+def test_html_nested_bodies(spark):
+    """Headline, lead and sibling sections stay, wherever the body stands; links and boilerplate around it don't come in."""
+    body = "".join(f"<p>{'body text ' * 12}{k}</p>" for k in range(12))
+    text = [("body text " * 12 + str(k)) for k in range(12)]
+    links = "<div class=more>" + "<a href=x>another story to read</a> " * 20 + "</div>"
+    pages = [
+        (f"<article><h1>Head</h1><p>Lead</p><div class=entry-content>{body}</div><div class=related>no</div></article>", ["Head", "Lead", *text]),
+        (f"<div class=post><h1>Head</h1><div class=text><div class=in>{body}</div></div></div>", ["Head", *text]),
+        (f"<div class=post><section class=a><p>First part</section><section class=b>{body}</section><section class=c><p>Last part</section></div>", ["First part", *text, "Last part"]),
+        (f"<article><h1>Head</h1><div class=x><div class=y>{body}</div>{links}</div></article>", None),
+        (f"<div class=page><div class=post><h1>Head</h1><div class=text>{body}</div></div>{links}</div>", ["Head", *text]),
+        (f"<main><article><p>Short one</article><article><h1>Head</h1><div class=t>{body}</div></article></main>", None),
+    ]
+    rows = [(10 * i + k, f"http://h{i}.org/{k}", f"<html><body><nav>menu</nav><div class=top><p>Top of site</div>{p}<footer>f</footer></body></html>") for i, (p, _) in enumerate(pages) for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, (_, want) in enumerate(pages):
+        for k in range(3):
+            if want:
+                assert got[10 * i + k] == "\n".join(want), i
+            assert "\n".join(text) in got[10 * i + k] and "Top of site" not in got[10 * i + k]
+    assert got[50] == "\n".join(["Short one", "Head", *text])
+
+
 # --- quality
 
 
