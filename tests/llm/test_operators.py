@@ -452,6 +452,15 @@ def test_decontaminate_long_items(spark):
     assert got == want and want >= {(3 * i + k, i) for i in range(1, len(items)) for k in (1, 2)}
 
 
+def test_decontaminate_many_words(spark):
+    """No word of a benchmark of more than 65,536 words is left out: 16 of an item's 60 words have their full cosine."""
+    items = [" ".join(f"v{60 * i + k}" for k in range(60)) for i in range(1100)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.contaminated(docs(spark, items[::50], 0), benchmark, rank=64).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == {(k, 50 * k) for k in range(22)}
+    assert np.allclose([x["cosine"] for x in got], np.sqrt(16 / 60), atol=1e-4)
+
+
 def test_tokens_ignore_case_and_marks():
     from chronoloom.llm.common import texts as chunks
     import pyarrow as pa
