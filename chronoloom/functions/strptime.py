@@ -1,15 +1,20 @@
 """strptime as Column expressions: a format is compiled once into a regular expression and arithmetic over its groups.
 
-As the fields allow: input after the format's end is ignored, values aren't checked against their ranges but roll over (hour 99, February 30th),
+Fields take as many characters as they may and give none back, so "%Y%m" reads 2024 from "20241" and then 1, and doesn't fit "2024". As the
+fields allow: input after the format's end is ignored, values aren't checked against their ranges but roll over (hour 99, February 30th),
 %y below 69 is 20xx, %p adds 12 whatever %H says, weekdays and zone names are read and ignored, %z is subtracted, a day of the year other than 0 goes before month and day,
-and %s before everything. What a format lacks is that of 1970-01-01 00:00:00. Columns of the form strict raise an error on input that
-doesn't fit; those of the form try_ are null. Null input is null. Specifiers other than those below are refused.
+and %s before everything. Fields that say the same take effect in the format's order. What a format lacks is that of 1970-01-01 00:00:00.
+Columns of the form strict raise an error on input that doesn't fit; those of the form try_ are null. Null input is null. Specifiers other than
+those below are refused.
+
+Where every field has a greatest width and the input fills it, as formats write it, nothing is matched: see fixed().
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,29 +23,58 @@ from chronoloom.functions.civil import DAYS, MONTHS, fdiv, resolve_civil, resolv
 from chronoloom.functions.strftime import COMPOSITE, FormatError
 
 MARK = "\x01"
-SPACES = r"[ \t\n\r\x0B\f]*"
-PADDED = r"(\d{1,2}| \d)"
+#: Not at the input's end: fields that may be empty want some input all the same.
+MORE = r"(?=[\s\S])"
+SPACES = MORE + r"[ \t\n\r\x0B\f]*+"
+PADDED = r"((?>\d{1,2}+| \d))"
+#: Characters of a field that is filled.
+WIDTH = {"Y": 4, "y": 2, "C": 2, "m": 2, "d": 2, "H": 2, "I": 2, "M": 2, "S": 2, "j": 3}
+SAME = {"e": "d", "k": "H", "l": "I", "B": "b", "h": "b", "A": "a", "P": "p", "t": "n"}
 
 
 def _names(names: list[str]) -> str:
-    return "|".join(f"{n}|{n[:3]}" for n in names)
+    return "(?i:" + "|".join(f"{n}|{n[:3]}" for n in names) + ")"
+
+
+# specifier: (pattern, groups)
+PATTERNS = {
+    "n": (SPACES, 0),
+    "Y": (r"(\d{1,4}+)", 1),
+    **dict.fromkeys("yCM", (r"(\d{1,2}+)", 1)),
+    **dict.fromkeys("mdHI", (PADDED, 1)),
+    "b": (f"((?>{_names(MONTHS)}))", 1),
+    "a": (f"(?>{_names(DAYS)})", 0),
+    "w": ("[0-6]", 0),
+    "u": ("[1-7]", 0),
+    "j": (r"(\d{1,3}+)", 1),
+    "p": ("((?i:AM|PM))", 1),
+    "S": (r"(\d{1,2}+)(?:\.(\d{1,9}+))?+", 2),
+    "Z": (MORE + r"[A-Za-z0-9+_/\-]*+", 0),
+    "z": (r"([+\-])(\d\d)([0-5]\d)?+", 3),
+    "s": (r"(-?+\d++)(?:\.(\d{1,9}+))?+", 2),
+}
 
 
 @dataclass
 class Compiled:
-    """A regular expression that matches from the input's start, and the group of each field."""
+    """The steps of a format: literals (None, text) and specifiers (letter, first group)."""
 
-    pattern: str = ""
-    groups: dict[str, list[int]] = field(default_factory=dict)
+    steps: list[tuple[str | None, str | int]] = field(default_factory=list)
     count: int = 0
 
-    def add(self, name: str, pattern: str, groups: int = 1) -> None:
-        self.groups.setdefault(name, []).append(self.count + 1)
-        self.count += groups
-        self.pattern += pattern
+    @property
+    def pattern(self) -> str:
+        return "".join(self.patterns())
+
+    def patterns(self) -> list[str]:
+        return [re.escape(x) if c is None else PATTERNS[c][0] for c, x in self.steps]
+
+    def fields(self, letters: str) -> list[tuple[str, int]]:
+        """(letter, first group) of the fields among letters, in the format's order."""
+        return [(c, x) for c, x in self.steps if c is not None and c in letters]
 
-    def last(self, name: str) -> int | None:
-        return self.groups[name][-1] if name in self.groups else None
+    def last(self, letter: str) -> int | None:
+        return next((x for _, x in reversed(self.fields(letter))), None)
 
 
 def compile_format(fmt: str) -> Compiled:
@@ -51,138 +85,160 @@ def compile_format(fmt: str) -> Compiled:
         while at < len(fmt):
             c = fmt[at]
             if c != "%" or at + 1 == len(fmt):
-                out.pattern += re.escape(c) if ord(c) < 128 else c
+                out.steps.append((None, c))
                 at += 1
                 continue
-            c, at = fmt[at + 1], at + 2
-            match c:
-                case "%":
-                    out.pattern += "%"
-                case "n" | "t":
-                    out.pattern += SPACES
-                case "Y":
-                    out.add("Y", r"(\d{1,4})")
-                case "y" | "C" | "M":
-                    out.add(c, r"(\d{1,2})")
-                case "m" | "H" | "I":
-                    out.add(c, PADDED)
-                case "d" | "e":
-                    out.add("d", PADDED)
-                case "k":
-                    out.add("H", PADDED)
-                case "l":
-                    out.add("I", PADDED)
-                case "b" | "B" | "h":
-                    out.add("b", f"((?i:{_names(MONTHS)}))")
-                case "a" | "A":
-                    out.pattern += f"(?i:{_names(DAYS)})"
-                case "w":
-                    out.pattern += "[0-6]"
-                case "u":
-                    out.pattern += "[1-7]"
-                case "j":
-                    out.add("j", r"(\d{1,3})")
-                case "p" | "P":
-                    out.add("p", "((?i:AM|PM))")
-                case "S":
-                    out.add("S", r"(\d{1,2})(?:\.(\d{1,9}))?", 2)
-                case "Z":
-                    out.pattern += r"[A-Za-z0-9+_/\-]*"
-                case "z":
-                    out.add("z", r"([+\-])(\d\d)([0-5]\d)?", 3)
-                case "s":
-                    out.add("s", r"(-?\d{1,19})(?:\.(\d{1,9}))?", 2)
-                case _ if c in COMPOSITE:
-                    read(COMPOSITE[c])
-                case _:
-                    raise FormatError(f"%{c} can't be read")
+            c, at = SAME.get(fmt[at + 1], fmt[at + 1]), at + 2
+            if c == "%":
+                out.steps.append((None, c))
+            elif c in PATTERNS:
+                out.steps.append((c, out.count + 1))
+                out.count += PATTERNS[c][1]
+            elif c in COMPOSITE:
+                read(COMPOSITE[c])
+            else:
+                raise FormatError(f"%{c} can't be read")
 
     read(fmt)
     return out
 
 
 def _found(fmt: str, text: Column) -> Column:
-    """All groups of one match, as an array."""
+    """An empty string and all groups of one match, as an array; something else where the input doesn't fit."""
     form = compile_format(fmt)
-    return F.split(F.regexp_replace(text, f"(?s)^{form.pattern}.*$", MARK.join(f"${k + 1}" for k in range(form.count))), MARK)
+    return F.split(F.regexp_replace(text, f"(?s)^{form.pattern}.*$", "".join(f"{MARK}${k + 1}" for k in range(form.count))), MARK)
 
 
-def _fields(fmt: str, text: Column, found: Column | None = None) -> tuple[Column, Column, Column]:
-    """(whether the input fits, seconds, nanoseconds)."""
-    form = compile_format(fmt)
-    fits = text.rlike(f"(?s)^{form.pattern}")
-    found = _found(fmt, text) if found is None else found
-    group = lambda n: F.get(found, F.lit(n - 1))
-    whole = lambda n: F.ltrim(group(n)).try_cast("long")
-    get = lambda name, default: F.lit(default).cast("long") if form.last(name) is None else whole(form.last(name))
-    frac = lambda n: F.coalesce(F.rpad(F.nullif(group(n), F.lit("")), 9, "0").try_cast("long"), F.lit(0).cast("long"))
-    nanos = F.lit(0).cast("long")
-    if (n := form.last("s")) is not None:
-        return fits, whole(n), frac(n + 1)
-    if (n := form.last("S")) is not None:
-        nanos = frac(n + 1)
-    year = get("Y", 1970)
-    if form.last("y") is not None or form.last("C") is not None:
-        small = get("y", 0)
-        if form.last("C") is not None:
-            year = get("C", 0) * 100 + small
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
+
+
+def _seconds(form: Compiled, whole, text) -> Column:
+    """Seconds of the fields; whole(group) is a number and text(group) as it stands."""
+    year, century, small = _long(1970), False, False
+    for c, n in form.fields("YyC"):
+        if c == "Y":
+            year = whole(n)
+        elif c == "y":
+            small = True
+            year = year + whole(n) if century else whole(n) + F.when(whole(n) < 69, 2000).otherwise(1900)
         else:
-            year = small + F.when(small < 69, 2000).otherwise(1900)
-        if form.last("Y") is not None and form.pattern.rfind(r"(\d{1,4})") > form.pattern.rfind(r"(\d{1,2})"):
-            year = get("Y", 1970)
-    month = get("m", 1)
-    if (n := form.last("b")) is not None:
-        short = F.initcap(F.left(group(n), F.lit(3)))
-        month = F.array_position(F.array(*(F.lit(m[:3]) for m in MONTHS)), short).cast("long")
-    days = resolve_civil(year, month, get("d", 1))
+            year = (year - F.when(year < 2000, 1900).otherwise(2000) if small else _long(0)) + whole(n) * 100
+            century = True
+    month = _long(1)
+    for c, n in form.fields("mb")[-1:]:
+        # the names differ in their first three letters
+        month = whole(n) if c == "m" else F.array_position(F.array(*(F.lit(m[:3].lower()) for m in MONTHS)), F.lower(F.left(text(n), F.lit(3)))).cast("long")
+    get = lambda c: _long(0) if form.last(c) is None else whole(form.last(c))
+    days = resolve_civil(year, month, _long(1) if form.last("d") is None else get("d"))
     if form.last("j") is not None:
-        days = F.when(get("j", 0) != 0, resolve_civil_ordinal(year, get("j", 0))).otherwise(days)
-    hour = get("H", 0)
-    if form.last("I") is not None:
-        hour = get("I", 0) % 12 if form.last("H") is None else hour + get("I", 0) % 12
-    if (n := form.last("p")) is not None:
-        hour = hour + F.when(F.upper(group(n)) == "PM", 12).otherwise(0)
-    seconds = days * 86400 + hour * 3600 + get("M", 0) * 60 + get("S", 0)
+        days = F.when(get("j") != 0, resolve_civil_ordinal(year, get("j"))).otherwise(days)
+    hour = _long(0)
+    for c, n in form.fields("HIp"):
+        hour = whole(n) if c == "H" else hour + (whole(n) % 12 if c == "I" else F.when(F.upper(text(n)) == "PM", 12).otherwise(0))
+    seconds = days * 86400 + hour * 3600 + get("M") * 60 + get("S")
     if (n := form.last("z")) is not None:
-        size = whole(n + 1) * 3600 + F.coalesce(whole(n + 2), F.lit(0).cast("long")) * 60
-        seconds = seconds - F.when(group(n) == "-", -size).otherwise(size)
-    return fits, seconds, nanos
+        size = whole(n + 1) * 3600 + F.coalesce(whole(n + 2), _long(0)) * 60
+        seconds = seconds - F.when(text(n) == "-", -size).otherwise(size)
+    return seconds
+
+
+def _read(fmt: str, source: Column, found: Column) -> tuple[Column, Column, Column]:
+    """(whether the input fits, seconds, nanoseconds) of what _found() gives."""
+    form = compile_format(fmt)
+    text = lambda n: F.get(found, F.lit(n))
+    whole = lambda n: F.ltrim(text(n)).try_cast("long")
+    frac = lambda n: F.coalesce(F.rpad(F.nullif(text(n), F.lit("")), 9, "0").try_cast("long"), _long(0))
+    if form.count and not (form.steps[0] == (None, MARK)):
+        # groups never hold the mark; input that has it can't look like a match if it doesn't begin with it
+        fits = (F.size(found) == form.count + 1) & (text(0) == "") & ~F.startswith(source, F.lit(MARK))
+    else:
+        fits = compiled_fits(fmt, source)
+    first = next(iter(form.fields("s")), None)
+    if first is not None:
+        return fits & whole(first[1]).isNotNull(), whole(first[1]), frac(first[1] + 1)
+    nanos = frac(form.last("S") + 1) if form.last("S") is not None else _long(0)
+    return fits, _seconds(form, whole, text), nanos
+
+
+def fixed(fmt: str, text: Column) -> Column | None:
+    """Seconds of input whose fields are all filled with digits and that has no fraction, null for other input; None if the format has other fields.
+
+    The digits are put together and read as one number, so nothing is matched: a sign, space or point among them, which a
+    number may have too, is at its ends only and is looked for there.
+    """
+    form = compile_format(fmt)
+    kinds = [c for c, _ in form.steps if c is not None]
+    if not kinds or any(c not in WIDTH for c in kinds) or sum(WIDTH[c] for c in kinds) > 18:
+        return None
+    at, digits, checks, places, below = 1, [], [], {}, sum(WIDTH[c] for c in kinds)
+    for k, (c, x) in enumerate(form.steps):
+        if c is None:
+            checks.append(F.substring(text, at, 1) == x)
+            at += 1
+            continue
+        below -= WIDTH[c]
+        places[x] = (below, WIDTH[c])
+        digits.append((at, WIDTH[c]))
+        at += WIDTH[c]
+        if c == "S":
+            checks.append(F.substring(text, at, 1) != ".")
+    # neighbouring digits are one piece
+    runs: list[list[int]] = []
+    for start, n in digits:
+        if runs and runs[-1][0] + runs[-1][1] == start:
+            runs[-1][1] += n
+        else:
+            runs.append([start, n])
+    joined = F.concat(*(F.substring(text, a, n) for a, n in runs)) if len(runs) > 1 else F.substring(text, *runs[0])
+    checks += [F.length(joined) == sum(WIDTH[c] for c in kinds), joined >= "0", joined < ":", F.substring(joined, -1, 1) >= "0"]
+    number = joined.try_cast("long")
+    whole = lambda n: F.call_function("div", number, _long(10 ** places[n][0])) % 10 ** places[n][1]
+    return F.when(reduce(Column.__and__, checks), _seconds(form, whole, None))
 
 
 def _strict(fmt: str, text: Column, fits: Column, value: Column) -> Column:
-    fault = F.raise_error(F.concat(F.lit(f"input doesn't fit {fmt}: "), text))
+    fault = F.raise_error(F.concat(F.lit(f"input doesn't fit {fmt}: "), text, F.lit(", "), F.coalesce(_said(fmt, text), F.lit("number out of range"))))
     return F.when(text.isNull(), F.lit(None)).when(fits, value).otherwise(fault)
 
 
+def _bound(fmt: str, text: Column, value) -> Column:
+    """value(fits, seconds, nanos), where a lambda binds the match, lest every field repeats it."""
+    return F.get(F.transform(F.array(_found(fmt, text)), lambda found: value(*_read(fmt, text, found))), F.lit(0))
+
+
+def _quick(fmt: str, text: Column, slow: Column) -> Column:
+    quick = fixed(fmt, text)
+    return slow if quick is None else F.coalesce(quick, slow)
+
+
 def parse_precise(fmt: str, text: Column) -> Column:
     """struct(seconds, nanos)."""
-    fits, s, ns = _fields(fmt, text)
-    return _strict(fmt, text, fits, F.struct(s.alias("seconds"), ns.cast("int").alias("nanos")))
+    return _bound(fmt, text, lambda fits, s, ns: _strict(fmt, text, fits, F.struct(s.alias("seconds"), ns.cast("int").alias("nanos"))))
 
 
 def try_parse_precise(fmt: str, text: Column) -> Column:
-    fits, s, ns = _fields(fmt, text)
-    return F.when(fits, F.struct(s.alias("seconds"), ns.cast("int").alias("nanos")))
+    return _bound(fmt, text, lambda fits, s, ns: F.when(fits, F.struct(s.alias("seconds"), ns.cast("int").alias("nanos"))))
 
 
 def parse_s(fmt: str, text: Column) -> Column:
     """UTC seconds; fractions are cut, downwards."""
-    fits, s, _ = _fields(fmt, text)
-    return _strict(fmt, text, fits, s)
+    return _quick(fmt, text, _bound(fmt, text, lambda fits, s, _: _strict(fmt, text, fits, s)))
 
 
 def try_parse_s(fmt: str, text: Column) -> Column:
-    fits, s, _ = _fields(fmt, text)
-    return F.when(fits, s)
+    return _quick(fmt, text, _bound(fmt, text, lambda fits, s, _: F.when(fits, s)))
 
 
-def with_parsed(df: DataFrame, to: str, fmt: str, text: Column) -> DataFrame:
-    """df with parse_s() in column to: the match is a projection of its own, so several columns stay within generated code."""
+def with_parsed(df: DataFrame, to: str, fmt: str, text: Column, strict: bool = True) -> DataFrame:
+    """df with parse_s() in column to, or try_parse_s(): the match is a projection of its own, so several columns stay within generated code."""
+    if fixed(fmt, text) is not None:
+        return df.withColumn(to, parse_s(fmt, text) if strict else try_parse_s(fmt, text))
     # plain columns, not a struct: Catalyst would take a struct apart and repeat the match for every field
-    found, fits = f"__{to}_found", f"__{to}_fits"
-    _, seconds, _ = _fields(fmt, text, F.col(found))
-    held = df.withColumns({found: _found(fmt, text), fits: text.rlike(f"(?s)^{compile_format(fmt).pattern}")})
-    return held.withColumn(to, _strict(fmt, text, F.col(fits), seconds)).drop(found, fits)
+    found, source = f"__{to}_found", f"__{to}_text"
+    fits, seconds, _ = _read(fmt, F.col(source), F.col(found))
+    held = df.withColumn(source, text).withColumn(found, _found(fmt, F.col(source)))
+    return held.withColumn(to, _strict(fmt, F.col(source), fits, seconds) if strict else F.when(fits, seconds)).drop(found, source)
 
 
 def parse_d(fmt: str, text: Column) -> Column:
@@ -196,13 +252,11 @@ def try_parse_d(fmt: str, text: Column) -> Column:
 
 def parse_ns(fmt: str, text: Column) -> Column:
     """Nanoseconds, from 1677 to 2262; an error beyond."""
-    fits, s, ns = _fields(fmt, text)
-    return _strict(fmt, text, fits, s * 1_000_000_000 + ns)
+    return _bound(fmt, text, lambda fits, s, ns: _strict(fmt, text, fits, s * 1_000_000_000 + ns))
 
 
 def try_parse_ns(fmt: str, text: Column) -> Column:
-    fits, s, ns = _fields(fmt, text)
-    return F.when(fits, F.try_add(F.try_multiply(s, F.lit(1_000_000_000)), ns))
+    return _bound(fmt, text, lambda fits, s, ns: F.when(fits, F.try_add(F.try_multiply(s, F.lit(1_000_000_000)), ns)))
 
 
 def parse_ticks(fmt: str, text: Column, number: int, den: int = 1) -> Column:
@@ -214,21 +268,24 @@ def parse_ticks(fmt: str, text: Column, number: int, den: int = 1) -> Column:
     return ticks + fdiv(rest * den, 1_000_000_000 * number)
 
 
+def place(fmt: str, text: Column) -> Column:
+    """How many characters the format takes before the one that it can't: one match of ever longer beginnings of the format."""
+    form = compile_format(fmt)
+    nested = ""
+    for (c, _), pattern in reversed(list(zip(form.steps, form.patterns(), strict=True))):
+        # a padded field may take its space before it fails
+        nested = f"(?>{pattern}{nested}{'| ' if c is not None and c in 'mdHI' else ''})?+"
+    return F.length(F.regexp_extract(text, f"^({nested})", 1))
+
+
+def _said(fmt: str, text: Column) -> Column:
+    at = place(fmt, text)
+    return F.when(at >= F.length(text), F.lit("unexpected end of input")).otherwise(F.concat(F.lit("error at input["), at.cast("string"), F.lit("] (char='"), F.substring(text, at + 1, F.lit(1)), F.lit("')")))
+
+
 def problem(fmt: str, text: Column) -> Column:
     """Why input doesn't fit: the place of the first character that the format can't take, or the end; null where it fits."""
-    pieces: list[str] = []
-    at = 0
-    while at < len(fmt):
-        step = 2 if fmt[at] == "%" and at + 1 < len(fmt) else 1
-        pieces.append(fmt[at : at + step])
-        at += step
-    longest = F.lit(0)
-    for k in range(1, len(pieces)):
-        head = f"(?s)^{compile_format(''.join(pieces[:k])).pattern}"
-        longest = F.greatest(longest, F.length(F.regexp_extract(text, f"({head})", 1)))
-    c = F.substring(text, longest + 1, F.lit(1))
-    said = F.when(longest >= F.length(text), F.lit("unexpected end of input")).otherwise(F.concat(F.lit("error at input["), longest.cast("string"), F.lit("] (char='"), c, F.lit("')")))
-    return F.when(text.isNotNull() & ~compiled_fits(fmt, text), said)
+    return F.when(text.isNotNull() & ~compiled_fits(fmt, text), _said(fmt, text))
 
 
 def compiled_fits(fmt: str, text: Column) -> Column:
@@ -238,4 +295,3 @@ def compiled_fits(fmt: str, text: Column) -> Column:
 def local_seconds(fmt: str, text: Column) -> Column:
     """Local seconds without zone; an offset in the input is subtracted as in parse_s()."""
     return parse_s(fmt, text)
-
