@@ -13,6 +13,7 @@ Where every field has a greatest width and the input fills it, as formats write
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -113,8 +114,8 @@ def _long(x: int) -> Column:
     return F.lit(x).cast("long")
 
 
-def _seconds(form: Compiled, whole, text) -> Column:
-    """Seconds of the fields; whole(group) is a number and text(group) as it stands."""
+def _parts(form: Compiled, whole, text) -> dict[str, Column]:
+    """What the fields say, of which _seconds() makes seconds; whole(group) is a number and text(group) as it stands."""
     year, century, small = _long(1970), False, False
     for c, n in form.fields("YyC"):
         if c == "Y":
@@ -129,40 +130,56 @@ def _seconds(form: Compiled, whole, text) -> Column:
     for c, n in form.fields("mb")[-1:]:
         # the names differ in their first three letters
         month = whole(n) if c == "m" else F.array_position(F.array(*(F.lit(m[:3].lower()) for m in MONTHS)), F.lower(F.left(text(n), F.lit(3)))).cast("long")
-    get = lambda c: _long(0) if form.last(c) is None else whole(form.last(c))
-    days = resolve_civil(year, month, _long(1) if form.last("d") is None else get("d"))
-    if form.last("j") is not None:
-        days = F.when(get("j") != 0, resolve_civil_ordinal(year, get("j"))).otherwise(days)
+    get = lambda c, default=0: _long(default) if form.last(c) is None else whole(form.last(c))
     hour = _long(0)
     for c, n in form.fields("HIp"):
         hour = whole(n) if c == "H" else hour + (whole(n) % 12 if c == "I" else F.when(F.upper(text(n)) == "PM", 12).otherwise(0))
-    seconds = days * 86400 + hour * 3600 + get("M") * 60 + get("S")
+    clock = hour * 3600 + get("M") * 60 + get("S")
     if (n := form.last("z")) is not None:
         size = whole(n + 1) * 3600 + F.coalesce(whole(n + 2), _long(0)) * 60
-        seconds = seconds - F.when(text(n) == "-", -size).otherwise(size)
-    return seconds
+        clock = clock - F.when(text(n) == "-", -size).otherwise(size)
+    return {"year": year, "month": month, "day": get("d", 1), "doy": get("j"), "clock": clock}
 
 
-def _read(fmt: str, source: Column, found: Column) -> tuple[Column, Column, Column]:
-    """(whether the input fits, seconds, nanoseconds) of what _found() gives."""
-    form = compile_format(fmt)
+def _seconds(form: Compiled, parts: dict[str, Column]) -> Column:
+    days = resolve_civil(parts["year"], parts["month"], parts["day"])
+    if form.last("j") is not None:
+        days = F.when(parts["doy"] != 0, resolve_civil_ordinal(parts["year"], parts["doy"])).otherwise(days)
+    return days * 86400 + parts["clock"]
+
+
+def _groups(found: Column):
+    """Functions of a group's number: its text, a whole number, nanoseconds of a fraction."""
     text = lambda n: F.get(found, F.lit(n))
     whole = lambda n: F.ltrim(text(n)).try_cast("long")
     frac = lambda n: F.coalesce(F.rpad(F.nullif(text(n), F.lit("")), 9, "0").try_cast("long"), _long(0))
-    if form.count and not (form.steps[0] == (None, MARK)):
-        # groups never hold the mark; input that has it can't look like a match if it doesn't begin with it
-        fits = (F.size(found) == form.count + 1) & (text(0) == "") & ~F.startswith(source, F.lit(MARK))
-    else:
-        fits = compiled_fits(fmt, source)
-    first = next(iter(form.fields("s")), None)
-    if first is not None:
-        return fits & whole(first[1]).isNotNull(), whole(first[1]), frac(first[1] + 1)
+    return text, whole, frac
+
+
+def _fits(fmt: str, source: Column, found: Column) -> Column:
+    form = compile_format(fmt)
+    if not form.count or form.steps[0] == (None, MARK):
+        return compiled_fits(fmt, source)
+    # groups never hold the mark; input that has it can't look like a match if it doesn't begin with it
+    text, whole, _ = _groups(found)
+    fits = (F.size(found) == form.count + 1) & (text(0) == "") & ~F.startswith(source, F.lit(MARK))
+    return fits & whole(form.fields("s")[0][1]).isNotNull() if form.fields("s") else fits
+
+
+def _read(fmt: str, source: Column, found: Column) -> tuple[Column, Column, Column]:
+    """(whether the input fits, seconds, nanoseconds) of what _found() gives."""
+    form = compile_format(fmt)
+    text, whole, frac = _groups(found)
+    fits = _fits(fmt, source, found)
+    if form.fields("s"):
+        n = form.fields("s")[0][1]
+        return fits, whole(n), frac(n + 1)
     nanos = frac(form.last("S") + 1) if form.last("S") is not None else _long(0)
-    return fits, _seconds(form, whole, text), nanos
+    return fits, _seconds(form, _parts(form, whole, text)), nanos
 
 
-def fixed(fmt: str, text: Column) -> Column | None:
-    """Seconds of input whose fields are all filled with digits and that has no fraction, null for other input; None if the format has other fields.
+def fixed(fmt: str, text: Column) -> tuple[Column, Callable[[Column], dict[str, Column]]] | None:
+    """(number, what the fields of a number say) of input whose fields are all filled with digits and that has no fraction, null for other input; None if the format has other fields.
 
     The digits are put together and read as one number, so nothing is matched: a sign, space or point among them, which a
     number may have too, is at its ends only and is looked for there.
@@ -192,9 +209,11 @@ def fixed(fmt: str, text: Column) -> Column | None:
             runs.append([start, n])
     joined = F.concat(*(F.substring(text, a, n) for a, n in runs)) if len(runs) > 1 else F.substring(text, *runs[0])
     checks += [F.length(joined) == sum(WIDTH[c] for c in kinds), joined >= "0", joined < ":", F.substring(joined, -1, 1) >= "0"]
-    number = joined.try_cast("long")
-    whole = lambda n: F.call_function("div", number, _long(10 ** places[n][0])) % 10 ** places[n][1]
-    return F.when(reduce(Column.__and__, checks), _seconds(form, whole, None))
+
+    def said(number: Column) -> dict[str, Column]:
+        return _parts(form, lambda n: F.call_function("div", number, _long(10 ** places[n][0])) % 10 ** places[n][1], None)
+
+    return F.when(reduce(Column.__and__, checks), joined.try_cast("long")), said
 
 
 def _strict(fmt: str, text: Column, fits: Column, value: Column) -> Column:
@@ -209,7 +228,7 @@ def _bound(fmt: str, text: Column, value) -> Column:
 
 def _quick(fmt: str, text: Column, slow: Column) -> Column:
     quick = fixed(fmt, text)
-    return slow if quick is None else F.coalesce(quick, slow)
+    return slow if quick is None else F.coalesce(_seconds(compile_format(fmt), quick[1](quick[0])), slow)
 
 
 def parse_precise(fmt: str, text: Column) -> Column:
@@ -232,13 +251,27 @@ def try_parse_s(fmt: str, text: Column) -> Column:
 
 def with_parsed(df: DataFrame, to: str, fmt: str, text: Column, strict: bool = True) -> DataFrame:
     """df with parse_s() in column to, or try_parse_s(): the match is a projection of its own, so several columns stay within generated code."""
-    if fixed(fmt, text) is not None:
-        return df.withColumn(to, parse_s(fmt, text) if strict else try_parse_s(fmt, text))
+    form = compile_format(fmt)
     # plain columns, not a struct: Catalyst would take a struct apart and repeat the match for every field
-    found, source = f"__{to}_found", f"__{to}_text"
-    fits, seconds, _ = _read(fmt, F.col(source), F.col(found))
-    held = df.withColumn(source, text).withColumn(found, _found(fmt, F.col(source)))
-    return held.withColumn(to, _strict(fmt, F.col(source), fits, seconds) if strict else F.when(fits, seconds)).drop(found, source)
+    found, source, number, *names = (f"__{to}_{k}" for k in ("found", "text", "number", "year", "month", "day", "doy", "clock"))
+    held, quick = df.withColumn(source, text), fixed(fmt, F.col(source))
+    match = _found(fmt, F.col(source))
+    if quick is not None:
+        held = held.withColumn(number, quick[0])
+        match = F.when(F.col(number).isNull(), match)
+    held, fits = held.withColumn(found, match), _fits(fmt, F.col(source), F.col(found))
+    group, whole, _ = _groups(F.col(found))
+    if form.fields("s"):
+        seconds = whole(form.fields("s")[0][1])
+    else:
+        parts = _parts(form, whole, group)
+        if quick is not None:
+            fits = F.col(number).isNotNull() | fits
+            parts = {k: F.when(F.col(number).isNotNull(), x).otherwise(parts[k]) for k, x in quick[1](F.col(number)).items()}
+        held = held.withColumns(dict(zip(names, parts.values(), strict=True)))
+        seconds = _seconds(form, dict(zip(parts, map(F.col, names), strict=True)))
+    value = _strict(fmt, F.col(source), fits, seconds) if strict else F.when(fits, seconds)
+    return held.withColumn(to, value).drop(found, source, number, *names)
 
 
 def parse_d(fmt: str, text: Column) -> Column:

@@ -64,8 +64,8 @@ class Registry:
         return self._path
 
     def reload(self, path: str | None = None) -> Registry:
-        self._path, self._db = path or self._path, None
-        return self
+        """Another registry, of the path or of this one's, read when it is first used; this one stays as it is."""
+        return Registry(path or self._path)
 
     def version(self) -> str:
         return self.db.version

@@ -69,7 +69,8 @@ class Lookup:
             return F.when(key.isNotNull() & of(bounds).isNotNull(), F.lit(0))
         place = F.shiftright(key, G) - of(block)
         start = F.get(of(base), F.least(F.greatest(place, F.lit(0)), F.size(of(base)) - 1).cast("int"))
-        start = F.when(place < 0, F.lit(0)).otherwise(start)
+        # least() and greatest() pass nulls over
+        start = F.when(place < 0, F.lit(0)).when(place.isNotNull(), start)
         out = start
         for k in range(1, steps + 1):
             out = out + F.when(key >= F.get(of(bounds), start + k), 1).otherwise(0)
@@ -111,7 +112,7 @@ class Lookup:
         return fdiv(self.to_local(t), 86400)
 
     def _shift(self, t: Column) -> Column:
-        return t - self._key(t)
+        return F.when(t > self._of("limit"), t - cyclic(t, self._of("cycle"))).otherwise(F.lit(0).cast("long"))
 
     def sys_range(self, t: Number) -> Column:
         """struct(begin, end) of the period that holds t; ends of 64 bits where it is open."""
@@ -123,11 +124,19 @@ class Lookup:
         return F.when(i.isNotNull(), F.struct(moved(begin).alias("begin"), moved(end).alias("end")))
 
     def get_info(self, t: Number) -> Column:
-        """struct(begin, end, offset, save in minutes, abbrev)."""
+        """struct(begin, end, offset, save in minutes, abbrev). with_info() does the same over a DataFrame and is faster."""
         t = num(t)
         i = self.seq(t)
         return F.when(i.isNotNull(), self._info(i, self._shift(t)))
 
+    def with_info(self, df: DataFrame, t: Number) -> DataFrame:
+        """df with the fields of get_info() as columns begin, end, offset, save and abbrev.
+
+        The lookup is a projection of its own, lest Catalyst repeats it for every field.
+        """
+        held = df.withColumn("__info_t", num(t)).withColumn("__info_seq", self.seq(F.col("__info_t")))
+        return held.withColumns(self._fields(F.col("__info_seq"), self._shift(F.col("__info_t")))).drop("__info_t", "__info_seq")
+
     def next_transition(self, t: Number) -> Column:
         """The first change after t, or null."""
         end = self.sys_range(t)["end"]
@@ -178,11 +187,14 @@ class Lookup:
         return F.when(self.local_type(local) == UNIQUE, self.to_sys(local))
 
     def _info(self, i: Column, shift: Column) -> Column:
+        return F.struct(*(c.alias(name) for name, c in self._fields(i, shift).items()))
+
+    def _fields(self, i: Column, shift: Column) -> dict[str, Column]:
         of = self._of
-        begin, end = F.get(of("begin"), i), F.coalesce(F.get(of("begin"), i + 1), F.lit(HIGHEST))
+        begin, end = F.get(of("begin"), i), F.when(i.isNotNull(), F.coalesce(F.get(of("begin"), i + 1), F.lit(HIGHEST)))
         moved = lambda x: F.when(x.isin(LOWEST, HIGHEST), x).otherwise(x + shift)
         off, std = F.get(of("offset"), i), F.get(of("stdoff"), i)
-        return F.struct(moved(begin).alias("begin"), moved(end).alias("end"), off.alias("offset"), fdiv(off - std, 60).cast("int").alias("save"), F.get(of("abbr"), i).alias("abbrev"))
+        return {"begin": moved(begin), "end": moved(end), "offset": off, "save": fdiv(off - std, 60).cast("int"), "abbrev": F.get(of("abbr"), i)}
 
     def get_local_info(self, local: Number) -> Column:
         """struct(result, first, second): the periods before and after; second is null where local time is unique."""
@@ -192,6 +204,15 @@ class Lookup:
         first, second = (self._info(F.get(self._of(c), i), shift) for c in ("seq_first", "seq_second"))
         return F.when(kind.isNotNull(), F.struct(kind.alias("result"), first.alias("first"), F.when(kind != UNIQUE, second).alias("second")))
 
+    def with_local_info(self, df: DataFrame, local: Number) -> DataFrame:
+        """df with the fields of get_local_info() as columns result, first and second; the lookups are projections of their own."""
+        held = df.withColumn("__info_l", num(local)).withColumn("__info_i", self._segment(F.col("__info_l")))
+        i, shift = F.col("__info_i"), self._shift(F.col("__info_l"))
+        held = held.withColumns({"result": F.get(self._of("kind"), i), "__info_a": F.get(self._of("seq_first"), i), "__info_b": F.get(self._of("seq_second"), i), "__info_shift": shift})
+        kind, shift = F.col("result"), F.col("__info_shift")
+        first, second = (self._info(F.col(c), shift) for c in ("__info_a", "__info_b"))
+        return held.withColumns({"first": F.when(kind.isNotNull(), first), "second": F.when(kind != UNIQUE, second)}).drop("__info_l", "__info_i", "__info_a", "__info_b", "__info_shift")
+
 
 class Zone(Lookup):
     """The operators for one zone, with the arrays as literals."""

@@ -161,3 +161,27 @@ def states(source: DataFrame, end: int | None = None) -> DataFrame:
 def zone_name(path):
     """The zone that a file's path names: what follows the last zoneinfo/."""
     return F.regexp_extract(path, r".*zoneinfo/(.+)$", 1)
+
+
+def compiled(db, zone: str, end: int, footer: str = "") -> bytes:
+    """A TZif file of a zone's periods before end; footer is the POSIX TZ string that holds from then on."""
+    from chronoloom.plans.rules import states as states_of
+
+    found = [(t, s) for t, s in states_of(db, zone) if t < end]
+    kinds: list[tuple[int, bool, str]] = []
+    index = []
+    for _, s in found:
+        kind = (s.walloff, s.walloff != s.stdoff, s.abbr)
+        if kind not in kinds:
+            kinds.append(kind)
+        index.append(kinds.index(kind))
+    names, places = b"", []
+    for *_, abbr in kinds:
+        raw = abbr.encode() + b"\0"
+        places.append(names.index(raw) if raw in names else len(names))
+        names += raw if raw not in names else b""
+    counts = (0, 0, 0, len(found) - 1, len(kinds), len(names))
+    body = struct.pack(f">{len(found) - 1}q", *(t for t, _ in found[1:])) + bytes(index[1:]) + b"".join(struct.pack(">iBB", off, dst, at) for (off, dst, _), at in zip(kinds, places, strict=True)) + names
+    head = lambda c: b"TZif2" + bytes(15) + struct.pack(">6I", *c)
+    # a version 1 body of one type comes first
+    return head((0, 0, 0, 0, 1, 1)) + bytes(7) + head(counts) + body + f"\n{footer}\n".encode()

@@ -115,6 +115,13 @@ def test_sys_info(spark):
     assert tuple(got[0][0]) == (epoch("2025-03-09 07:00:00"), epoch("2025-11-02 06:00:00"), -14400, 60, "EDT") and got[0][1:] == ("America/New_York", -18000)
     assert tuple(got[1][0]) == (epoch("2025-11-02 06:00:00"), epoch("2026-03-08 07:00:00"), -18000, 0, "EST")
     assert got[2][0]["abbrev"] == "LMT" and got[2][0]["begin"] == rules.LOWEST
+    none = F.lit(None).cast("long")
+    for c in (z.offset(none), z.abbrev(none), z.to_local(none), z.get_info(none), z.local_type(none), z.to_sys(none), z.get_local_info(none)):
+        assert spark.range(1).select(c.alias("x")).first()["x"] is None
+    rows = spark.createDataFrame([(x,) for x in (epoch("2025-11-02 05:59:59"), epoch("2425-11-02 06:00:00"), rules.LOWEST, None)], "t long").coalesce(1)
+    assert all(tuple(r["i"] or (None,) * 5) == tuple(r)[:5] for r in z.with_info(rows, F.col("t")).select("begin", "end", "offset", "save", "abbrev", z.get_info(F.col("t")).alias("i")).collect())
+    both = z.with_local_info(rows.withColumn("l", F.try_subtract("t", F.lit(16000))), F.col("l")).select("result", "first", "second", z.get_local_info(F.col("l")).alias("i")).collect()
+    assert all(tuple(r["i"] or (None,) * 3) == tuple(r)[:3] for r in both) and both[0]["result"] == 2
     info = values(spark, [(epoch("2025-11-02 01:00:00"),), (epoch("2025-11-02 02:00:00"),)], "l long", z.get_local_info(F.col("l")))
     assert info[0][0]["result"] == 2 and info[0][0]["first"]["abbrev"] == "EDT" and info[0][0]["second"]["abbrev"] == "EST" and info[1][0]["second"] is None
 
@@ -190,6 +197,8 @@ def test_registry(spark, monkeypatch):
     monkeypatch.setenv("CHRONOLOOM_TZ", "Asia/Tokyo")
     assert reg.current_name() == "Asia/Tokyo"
     reg.set_current_zone("Europe/Berlin")
+    other = reg.reload()
+    assert other is not reg and not other.loaded and reg.loaded
     assert reg.current_zone().table.zone == "Europe/Berlin" and reg.reload_current_zone() == "Asia/Tokyo"
     assert zone_from_link("/usr/share/zoneinfo/America/New_York") == "America/New_York" and zone_from_link("../x/Europe/Paris") == "Europe/Paris" and zone_from_link("/etc/x") is None
     assert windows_zones('<s><mapZone other="Eastern Standard Time" type="America/New_York America/Detroit"/><mapZone other="Eastern Standard Time" type="X"/></s>') == {"Eastern Standard Time": "America/New_York"}
@@ -268,6 +277,7 @@ def test_tzif(spark, tmp_path, monkeypatch):
 
     folder = f"{tzdata.__path__[0]}/zoneinfo/America"
     files = tzif.files(spark, f"file://{folder}/New_York")
+    assert tzif.parse(tzif.compiled(database(), "America/New_York", epoch("2037-01-01"), "EST5EDT,M3.2.0,M11.1.0")).states_until(epoch("2050-01-01")) == [(b, s) for b, s in rules.states(database(), "America/New_York") if b < epoch("2050-01-01")]
     head = tzif.headers(files).first()
     assert head["footer"] == "EST5EDT,M3.2.0,M11.1.0" and head["version"] >= 2 and tzif.transitions(files).count() == head["timecnt"] and tzif.types(files).count() == head["typecnt"] and tzif.leap_seconds(files).count() == 0
     for zone in ("New_York", "Sao_Paulo", "St_Johns"):
@@ -331,6 +341,87 @@ def test_parse(spark, fmt, text, want):
     assert got[0]["v"] == want and (got[0]["p"] is None) == (want is not None) and got[1]["v"] is None
 
 
+def plainly_read(fmt, text):
+    """Fields as they come, character by character; None where the text doesn't fit."""
+    at, year, month, day, doy, clock = 0, 1970, 1, 1, 0, {"H": 0, "M": 0, "S": 0}
+
+    def digits(most, padded=False):
+        nonlocal at
+        if padded and text[at : at + 1] == " ":
+            at, most = at + 1, 1
+        start = at
+        while at < len(text) and at - start < most and text[at] in "0123456789":
+            at += 1
+        if at == start:
+            raise ValueError
+        return int(text[start:at])
+
+    try:
+        for piece in fmt.replace("%F", "%Y-%m-%d").replace("%T", "%H:%M:%S").split("%"):
+            c, rest = piece[:1], piece[1:]
+            match c:
+                case "Y":
+                    year = digits(4)
+                case "y":
+                    year = digits(2)
+                    year += 2000 if year < 69 else 1900
+                case "m":
+                    month = digits(2, True)
+                case "d":
+                    day = digits(2, True)
+                case "j":
+                    doy = digits(3)
+                case "H":
+                    clock["H"] = digits(2, True)
+                case "M":
+                    clock["M"] = digits(2)
+                case "S":
+                    clock["S"] = digits(2)
+                    if text[at : at + 1] == "." and text[at + 1 : at + 2].isdigit():
+                        at += 1
+                        digits(9)
+            for x in rest if c else piece:
+                if text[at : at + 1] != x:
+                    raise ValueError
+                at += 1
+    except ValueError:
+        return None, at
+    days = C.days_of(year, 1, 1) + doy - 1 if doy else C.days_of(year, month, 1) + day - 1
+    return days * 86400 + clock["H"] * 3600 + clock["M"] * 60 + clock["S"], at
+
+
+def test_parse_against_plain_reading(spark):
+    """Random short texts: fields give nothing back, filled fields and others agree, and errors name their place."""
+    r = random.Random(5)
+    formats = ["%Y%m%d", "%Y%j", "%F", "%F %T", "%H%M%S", "%y%m", "%d.%m.%Y", "%Y-%j", "%T"]
+    rows = []
+    for f in formats:
+        for _ in range(150):
+            filled = f.replace("%F", "2024-0%d-1%d" % (r.randint(1, 9), r.randint(0, 9))).replace("%T", "1%d:0%d:59" % (r.randint(0, 9), r.randint(0, 9)))
+            for c, n in {"Y": 4, "y": 2, "m": 1, "d": 2, "j": 3, "H": 2, "M": 2, "S": 2}.items():
+                filled = filled.replace(f"%{c}", "".join(r.choice("0123456789" if c != "m" else "123456789") for _ in range(n)))
+            text = list(filled)
+            for _ in range(r.randint(0, 2)):
+                at = r.randrange(len(text) + 1)
+                text[at : at + r.randint(0, 1)] = r.choice(["", " ", "+", "-", ".", "7", "x", "\x01"])
+            rows.append((f, "".join(text)))
+    df = spark.createDataFrame(rows, "f string, x string").coalesce(1)
+    for f in formats:
+        some = df.where(F.col("f") == f)
+        quick = P.with_parsed(some.select("x", P.try_parse_s(f, F.col("x")).alias("v"), P.place(f, F.col("x")).alias("p")), "w", f, F.col("x"), strict=False)
+        for row in quick.collect():
+            want, at = plainly_read(f, row["x"])
+            assert row["v"] == row["w"] == want and row["p"] == at, (f, row["x"], row["v"], row["w"], want, row["p"], at)
+
+
+def test_errors_name_their_place(spark):
+    df = spark.createDataFrame([("2024x",)], "x string")
+    with pytest.raises(Exception, match=r"input\[4\] \(char='x'\)"):
+        df.select(P.parse_s("%F", F.col("x"))).collect()
+    with pytest.raises(Exception, match="doesn't fit"):
+        P.with_parsed(df, "v", "%F", F.col("x")).collect()
+
+
 def test_parse_strict_and_ticks(spark):
     with pytest.raises(Exception, match="doesn't fit"):
         spark.range(1).select(P.parse_s("%F", F.lit("x"))).collect()
