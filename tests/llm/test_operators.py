@@ -204,21 +204,54 @@ def test_winnow_edges(spark):
 # --- licences
 
 
+def best_dice(text, template):
+    """The best Dice of any window of a text, by brute force."""
+    w, t = licenses.plain(text), set(licenses.pairs(licenses.plain(template)))
+    best = 0.0
+    for a in range(len(w)):
+        for b in range(a + 2, min(len(w), a + 2 * len(t)) + 1):
+            g = set(licenses.pairs(w[a:b]))
+            best = max(best, 2 * len(g & t) / (len(g) + len(t)))
+    return best
+
+
 def test_licenses(spark):
+    import textwrap
+
     notice = licenses.TEMPLATES["GPL notice"][0]
-    texts = [f"Some words.\nLicensed under the Apache License, Version 2.0.\nMore.", "released UNDER the mit licence. Released under the MIT License.", notice.replace("redistribute it", "copy it"), "the license is nothing", "", None, "word"]
-    got = {(r["doc_id"], r["license"]): r["dice"] for r in licenses.scan(docs(spark, texts)).collect()}
-    assert got[1, "Apache-2.0"] == 1.0 and got[2, "MIT"] == 1.0 and 0.8 <= got[3, "GPL notice"] < 1 and not any(k[0] > 3 for k in got)
+    mit, bsd = licenses.TEMPLATES["MIT permission"][1], licenses.TEMPLATES["BSD"][1]
+    wrapped = lambda t: "\n".join(f" * {x}" for x in textwrap.wrap(t, 60))
+    inside = lambda t: f"{prose(1, 300)}\n{wrapped(t)}\n{prose(2, 300)}"
+    texts = [
+        f"Some words.\nLicensed under the Apache License, Version 2.0.\nMore.", "released UNDER the mit licence. Released under the MIT License.", notice.replace("redistribute it", "copy it"), inside(mit), inside(bsd), inside(notice),
+        "The code in this post is released under the MIT License, so feel free to reuse it.", inside(" ".join(w for k, w in enumerate(mit.split()) if k % 9)), inside(mit.replace("IN NO EVENT", "and these words of ours come in between here IN NO EVENT")), "the license is nothing", "", None, "word",
+    ]
+    got = {(r["doc_id"], r["license"]): r for r in licenses.scan(docs(spark, texts)).collect()}
+    dice = {k: r["dice"] for k, r in got.items()}
+    assert dice[1, "Apache-2.0"] == 1.0 and dice[2, "MIT"] == 1.0 and 0.8 <= dice[3, "GPL notice"] < 1 and not any(k[0] > 9 for k in got)
+    assert dice[4, "MIT permission"] == dice[5, "BSD"] == dice[6, "GPL notice"] == dice[7, "MIT"] == 1.0
+    assert (got[4, "MIT permission"]["first_word"], got[4, "MIT permission"]["n_words"]) == (300, len(licenses.plain(licenses.TEMPLATES["MIT permission"][0])))
+    assert min(dice[8, "MIT permission"], dice[9, "MIT permission"]) >= 0.8
+    # what is found is never better than brute force, and what brute force finds clearly is found
+    for i, t in enumerate(texts, 1):
+        for name in ("MIT", "Apache-2.0", "GPL-3.0", "CC-BY-4.0", "all rights reserved"):
+            best = max(best_dice(t or "", x) for x in licenses.TEMPLATES[name])
+            assert dice.get((i, name), 0) <= best + 1e-9 and (best < 0.9 or (i, name) in dice)
     assert licenses.scan(edge(spark)).count() == 0 and licenses.scan(empty(spark)).count() == 0
+    own = licenses.scan(docs(spark, ["x own rules apply to all y"]), templates={"own": ["Own rules apply to all."]}).collect()
+    assert [(r["license"], r["dice"]) for r in own] == [("own", 1.0)]
 
 
-def test_license_hints_lose_nothing():
-    """A unit at the threshold always has a hint."""
-    found, r = licenses.hints(), random.Random(1)
-    for _, grams in licenses.templates():
-        for _ in range(200):
-            kept = r.sample(grams, max(1, int(len(grams) * 2 / 3) + (len(grams) * 2 % 3 > 0)))
-            assert any(h in g.split() for h in found for g in kept)
+def test_license_anchors_lose_nothing():
+    """A match at the threshold always has an anchor, and each anchor has a hint."""
+    r = random.Random(1)
+    found = licenses.hints(licenses.index())
+    for _, words in licenses.named():
+        grams = sorted(set(licenses.pairs(words)))
+        chosen = set(licenses.anchors(words))
+        assert len(grams) - len(chosen) < len(grams) * 2 / 3 and all(set(g.split()) & set(found) for g in chosen)
+        for _ in range(50):
+            assert chosen & set(r.sample(grams, int(np.ceil(len(grams) * 2 / 3 - 1e-9))))
 
 
 # --- URLs
