@@ -224,7 +224,7 @@ def test_licenses(spark):
     inside = lambda t: f"{prose(1, 300)}\n{wrapped(t)}\n{prose(2, 300)}"
     texts = [
         f"Some words.\nLicensed under the Apache License, Version 2.0.\nMore.", "released UNDER the mit licence. Released under the MIT License.", notice.replace("redistribute it", "copy it"), inside(mit), inside(bsd), inside(notice),
-        "The code in this post is released under the MIT License, so feel free to reuse it.", inside(" ".join(w for k, w in enumerate(mit.split()) if k % 9)), inside(mit.replace("IN NO EVENT", "and these words of ours come in between here IN NO EVENT")), "the license is nothing", "", None, "word",
+        "The code in this post is released under the MIT License, so feel free to reuse it.", inside(" ".join(w for k, w in enumerate(mit.split()) if k % 15)), inside(mit.replace("IN NO EVENT", "and these words of ours come in between here IN NO EVENT")), "the license is nothing", "", None, "word",
     ]
     got = {(r["doc_id"], r["license"]): r for r in licenses.scan(docs(spark, texts)).collect()}
     dice = {k: r["dice"] for k, r in got.items()}
