@@ -1,8 +1,11 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's tokens are its runs of up to TOKEN characters that are not white space; its grams are K tokens in a row, hashed. From every
-window of W grams the smallest hash is chosen, the rightmost among equals, and its position is kept: two texts that share
-K + W - 1 tokens in a row share a chosen hash. A text of fewer tokens has one gram of all of them, a text without tokens none.
+A text's grams are its runs of K characters, every one of them, so nothing depends on words or on where something is put in. A gram's rolling hash is
+its value as a polynomial of its characters; those of all places come from those of half as long grams, as SQL has no running
+state: K characters take log2(K) steps. From every window of W grams the smallest hash is chosen, the rightmost among equals, and its
+position is kept: two texts that share K + W - 1 characters in a row share a chosen gram. Rolling hashes only choose; a fingerprint holds
+64 bits of a digest of each chosen gram. A text of fewer characters than K has one gram of all of them, an empty text none. Long texts are
+worked off in chunks of CHUNK characters that overlap, so memory is bounded and the result is the same.
 
 Null text counts as empty. Two empty fingerprints are alike by 1, an empty and another one by 0. Rows without doc_id come last; rows
 of equal doc_id follow each other by hash of text. A table of one row follows itself. Extra columns are ignored.
@@ -10,45 +13,79 @@ of equal doc_id follow each other by hash of text. A table of one row follows it
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import small
+K, W = 16, 32
+CHUNK = 4096
+#: Hexadecimal digits of a digest.
+DIGITS = 16
+PRIME, BASE = (1 << 31) - 1, 1_000_003
+#: Places in a chunk, counted backwards in the lowest bits so that the rightmost of equal hashes is the smallest.
+PLACES = 2 * CHUNK
+#: Documents of one block of neighbours, as long as BLOCKS do.
+ROWS, BLOCKS = 1000, 4096
+
+
+def _steps(n: int) -> list[int]:
+    """1, 2, 4 and so on below n, a power of two."""
+    return [1 << k for k in range(n.bit_length() - 1)]
+
+
+def _bind(x: Column, f) -> Column:
+    """f(x), where a lambda computes x once however often f needs it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
 
-TOKEN, K, W = 16, 3, 4
-HASH = 8
-#: Documents of one block of neighbours.
-ROWS = 1000
-BROADCAST_BLOCKS = 20_000
+def _with_later(step: int, f):
+    """Of an array, f(each element, the element step places on, its own place); what is beyond the end is null."""
+    return lambda a: F.transform(a, lambda x, i: f(x, F.get(a, i + step), i))
+
+
+def _picks(text: Column, first: Column) -> Column:
+    """array<struct<h, p>> of a chunk and what follows it: p counts from the chunk's begin. first: whether nothing stands before."""
+    digest = lambda x: F.substring(F.md5(x), 1, DIGITS)
+
+    def of(chars: Column) -> Column:
+        n = F.size(chars)
+        codes = F.transform(chars, lambda c: F.ascii(c).cast("long"))
+        rolled = lambda s: _with_later(s, lambda x, y, i: (x * pow(BASE, s, PRIME) + y) % PRIME)
+        placed = lambda s: _with_later(s, lambda x, y, i: (x * pow(BASE, s, PRIME) + y) % PRIME * PLACES + (PLACES - 1 - i))
+        grams = _bind(reduce(lambda a, s: _bind(a, rolled(s)), _steps(K)[:-1], codes), placed(K // 2))
+        # windows that reach beyond the end would be of fewer grams, and are left out; so are grams that do, which are null
+        least = lambda g: F.slice(reduce(lambda a, s: _bind(a, _with_later(s, lambda x, y, i: F.least(x, y))), _steps(W), g), F.lit(1), F.greatest(n - (K + W - 2), F.lit(0)))
+        some = _bind(grams, lambda g: F.when(n >= K + W - 1, least(g)).otherwise(F.array(F.array_min(g))))
+        # a place that is no longer chosen isn't chosen again
+        places = F.transform(F.array_distinct(some), lambda x: PLACES - 1 - x % PLACES)
+        picks = F.transform(places, lambda p: F.struct(digest(F.concat(*(F.get(chars, p.cast("int") + k) for k in range(K)))).alias("h"), p.alias("p")))
+        one = F.array(F.struct(digest(text).alias("h"), F.lit(0).cast("long").alias("p")))
+        return F.when((n >= K + W - 1) | (first & (n >= K)), picks).when(first & (n > 0), one).otherwise(F.filter(one, lambda x: F.lit(False)))
+
+    return _bind(F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "")), of)
 
 
 def chosen(text: Column) -> Column:
-    """array<struct<h string, p int>>: p is minus the position of the gram."""
-    tokens = F.regexp_extract_all(text, F.lit(f"([^\\x09-\\x0D\\x20]{{1,{TOKEN}}})"), F.lit(1))
+    """array<struct<h string, p long>>: digests of the chosen grams and their positions."""
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{CHUNK}}})"), F.lit(1))
 
-    def grams(t: Column) -> Column:
-        n = F.size(t)
-        gram = lambda i: F.concat_ws(" ", *(F.get(t, i + k) for k in range(K)))
-        some = F.transform(F.sequence(F.lit(0), n - K), lambda i: F.struct(F.substring(F.md5(gram(i)), 1, HASH).alias("h"), (-i).alias("p")))
-        one = F.array(F.struct(F.substring(F.md5(F.array_join(t, " ")), 1, HASH).alias("h"), F.lit(0).alias("p")))
-        return F.when(n >= K, some).when(n > 0, one).otherwise(F.filter(one, lambda x: F.lit(False)))
+    def each(c: Column) -> Column:
+        part = lambda x, j: F.transform(_picks(F.concat(x, F.left(F.coalesce(F.get(c, j + 1), F.lit("")), F.lit(K + W - 2))), j == 0), lambda y: F.struct(y["h"].alias("h"), (y["p"] + j * CHUNK).alias("p")))
+        return F.flatten(F.transform(c, part))
 
-    def least(g: Column) -> Column:
-        n = F.size(g)
-        each = F.transform(F.sequence(F.lit(0), n - W), lambda i: F.least(*(F.get(g, i + k) for k in range(W))))
-        return F.when(n >= W, each).when(n > 0, F.array(F.array_min(g))).otherwise(g)
+    # the last choice of a chunk may be the first of the next
+    return _bind(_bind(chunks, each), lambda m: F.filter(m, lambda x, i: (i == 0) | (F.get(m, i - 1)["p"] != x["p"])))
 
-    # windows that share a choice are neighbours
-    def once(m: Column) -> Column:
-        return F.filter(m, lambda x, i: (i == 0) | (F.get(m, i - 1)["p"] != x["p"]))
 
-    # a lambda binds what several expressions need, so it is computed once
-    bind = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
-    return bind(bind(bind(tokens, grams), least), once)
+def _joined(text: Column) -> Column:
+    return F.array_join(F.transform(chosen(text), lambda x: x["h"]), " ")
 
 
-def hashes(picks: Column) -> Column:
-    return F.transform(picks, lambda x: x["h"])
+def _apart(joined: Column) -> Column:
+    """The distinct digests of a joined fingerprint."""
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(joined, " ")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -59,65 +96,76 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint: array of chosen hashes, positions: of their grams) for every row of docs(doc_id, text)."""
+    """(doc_id, fingerprint: array of chosen digests, positions: of their grams) for every row of docs(doc_id, text)."""
     picks = docs.select("doc_id", chosen(F.coalesce("text", F.lit(""))).alias("x"))
-    return picks.select("doc_id", hashes(F.col("x")).alias("fingerprint"), F.transform("x", lambda x: -x["p"]).alias("positions"))
+    return picks.select("doc_id", F.transform("x", lambda x: x["h"]).alias("fingerprint"), F.transform("x", lambda x: x["p"]).alias("positions"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with following: the text of the next document by ascending doc_id; after the last, the first.
+    """docs(doc_id, text) with fingerprint, and following and following_fingerprint: those of the next document by ascending doc_id; after the last, the first.
 
-    Neighbours meet in blocks of about ROWS documents by ranges of doc_id; every block gets a copy of the row that follows it.
+    Neighbours meet in blocks between bounds that are drawn from the rows themselves by hash, so blocks are about equal however
+    ids are spread; a block is found by binary search, and gets a copy of the row that follows it. Bounds and first rows are BLOCKS or so at most.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, int(((high or 0) - (low or 0) + 1) * ROWS / max(1, n)))
-    block = F.when(F.col("doc_id").isNull(), F.lit(2**62)).otherwise(F.floor((F.col("doc_id") - F.lit(low or 0)) / width))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"), block.cast("long").alias("block"), F.lit(False).alias("copy"))
-    firsts = rows.groupBy("block").agg(F.min("key").alias("first"))
-    # the last block is followed by the first key of all, which a running first() is
-    order = Window.orderBy("block")
-    after = firsts.select("block", F.coalesce(F.lead("first").over(order), F.first("first").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("key"))
-    after = F.broadcast(after) if small(firsts, BROADCAST_BLOCKS) else after
-    copies = rows.drop("block").join(after, "key").select("doc_id", "text", "key", "block", F.lit(True).alias("copy"))
-    near = Window.partitionBy("block").orderBy("copy", "key", F.xxhash64("text"), "text")
-    return rows.unionByName(copies).withColumn("following", F.lead("text").over(near)).where("not copy").select("doc_id", "text", "following")
+    own = F.coalesce("text", F.lit(""))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(own).alias("h"))
+    base = docs.select("doc_id", own.alias("text"), key.alias("key"))
+    every = max(ROWS, -(-base.count() // BLOCKS))
+    drawn = base.select("key").where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(every)) == 0).distinct().orderBy("key")
+    bounds = [r["key"] for r in drawn.collect()]
+    kind = base.schema["key"].dataType.simpleString()
+    known = F.from_json(F.lit(json.dumps([{"none": b["none"], "id": b["id"], "h": b["h"]} for b in bounds])), f"array<{kind}>")
+    # how many bounds aren't above the key
+    size = len(bounds)
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(size.bit_length()))))
+    block = F.aggregate(halves, F.lit(0), lambda n, s: F.when((n + s <= size) & (F.get(known, n + s - 1) <= F.col("key")), n + s).otherwise(n)) if size else F.lit(0)
+    rows = base.withColumn("block", block)
+    firsts = sorted(rows.groupBy("block").agg(F.min("key").alias("key")).collect(), key=lambda r: r["block"])
+    after = [(r["block"], firsts[(i + 1) % len(firsts)]["key"]) for i, r in enumerate(firsts)]
+    after = F.broadcast(docs.sparkSession.createDataFrame(after, f"block int, key {kind}"))
+    copies = base.join(after, "key").select("doc_id", "text", "key", "block", F.lit(True).alias("copy"))
+    both = rows.select("doc_id", "text", "key", "block", F.lit(False).alias("copy")).unionByName(copies).withColumn("fingerprint", _joined(F.col("text")))
+    near = Window.partitionBy("block").orderBy("copy", "key", "text")
+    both = both.withColumns({"following": F.lead("text").over(near), "following_fingerprint": F.lead("fingerprint").over(near)})
+    return both.where("not copy").select("doc_id", "text", "fingerprint", "following", "following_fingerprint")
 
 
 def edited(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next for every row of docs(doc_id, text)."""
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
-    rows = with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), "text", "following", F.concat(F.left("text", n - cut), F.left("following", cut)).alias("edit"))
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.encode("edit", "UTF-8"), 256).alias("edited_sha256"), *(hashes(chosen(F.col(c))).alias(c) for c in ("text", "edit", "following")))
-    join = lambda c: F.array_join(c, " ")
-    rows = rows.select("doc_id", "n_chars", "edited_sha256", join("text").alias("fingerprint"), join("edit").alias("edited_fingerprint"), *(F.array_distinct(c).alias(c) for c in ("text", "edit", "following")))
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("text"), F.col("edit")).alias("near_edited"), likeness(F.col("text"), F.col("following")).alias("near_next"))
-
-
-def _sql_chosen(text: str) -> str:
-    tokens = f"regexp_extract_all({text}, '[^\\x09-\\x0D\\x20]{{1,{TOKEN}}}')"
-    gram = "array_to_string(t[i:i + %d], ' ')" % (K - 1)
-    grams = f"""case when len(t) >= {K} then [struct_pack(h := left(md5({gram}), {HASH}), p := -i) for i in range(1, len(t) - {K} + 2)]
-        when len(t) > 0 then [struct_pack(h := left(md5(array_to_string(t, ' ')), {HASH}), p := 0::bigint)] else [] end"""
-    least = f"case when len(g) >= {W} then [list_min(g[i:i + {W - 1}]) for i in range(1, len(g) - {W} + 2)] when len(g) > 0 then [list_min(g)] else [] end"
-    return tokens, grams, least
+    edit = F.concat(F.left("text", n - cut), F.left("following", cut))
+    rows = with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "following_fingerprint", edit.alias("edit"))
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.encode("edit", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "following_fingerprint", _joined(F.col("edit")).alias("edited_fingerprint"))
+    rows = rows.withColumns({"__a": _apart(F.col("fingerprint")), "__b": _apart(F.col("edited_fingerprint")), "__c": _apart(F.col("following_fingerprint"))})
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("__a"), F.col("__b")).alias("near_edited"), likeness(F.col("__a"), F.col("__c")).alias("near_next"))
 
 
 def sql() -> str:
-    """The same result as edited(), in DuckDB SQL."""
-    tokens, grams, least = _sql_chosen("s")
+    """The same result as edited(), in DuckDB SQL, without chunks."""
+    each = lambda a, f: f"list_transform({a}, lambda x: {f})"
+    pairs = lambda s, f: f"[{f} for i in range(1, len(a) - {s} + 1)]"
+    steps = ["c0 as (select doc_id, kind, s, " + each("string_split(s, '')", "unicode(x)::bigint") + " as a from s where s <> '')"]
+    for k, s in enumerate(_steps(K)):
+        steps.append(f"c{k + 1} as (select doc_id, kind, s, " + pairs(s, f"(a[i] * {pow(BASE, s, PRIME)} + a[i + {s}]) % {PRIME}") + f" as a from c{k})")
+    n = len(_steps(K))
+    big = 1 << 31
+    steps.append(f"m0 as (select doc_id, kind, s, [a[i] * {big} + ({big} - i) for i in range(1, len(a) + 1)] as a from c{n} where length(s) >= {K + W - 1})")
+    for k, s in enumerate(_steps(W)):
+        steps.append(f"m{k + 1} as (select doc_id, kind, s, " + pairs(s, f"least(a[i], a[i + {s}])") + f" as a from m{k})")
+    short = f"short as (select doc_id, kind, s, case when length(s) < {K} then [{big} - 1] else [list_min([a[i] * {big} + ({big} - i) for i in range(1, len(a) + 1)])] end as a from c{n} where length(s) < {K + W - 1})"
+    digest = f"left(md5(substring(s, ({big} - x % {big})::bigint, {K})), {DIGITS})"
     return f"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 n as (select doc_id, text, coalesce(lead(text) over (order by doc_id), first_value(text) over (order by doc_id)) as following from d),
 e as (select *, left(text, (length(text) - length(text) // 4)::int) || left(following, (length(text) // 4)::int) as edit from n),
 s as (select doc_id, kind, s from e, lateral (values ('text', text), ('edit', edit), ('following', following)) v(kind, s)),
-t as (select doc_id, kind, {tokens} as t from s),
-g as (select doc_id, kind, {grams} as g from t),
-m as (select doc_id, kind, {least} as m from g),
-f as (select doc_id, kind, [x.h for x in list_transform(list_filter(range(1, len(m) + 1), lambda i: i = 1 or m[i] <> m[i - 1]), lambda i: m[i])] as f from m),
-p as (select doc_id, max(f) filter (kind = 'text') as a, max(f) filter (kind = 'edit') as b, max(f) filter (kind = 'following') as c from f group by doc_id)
+{', '.join(steps)}, {short},
+p as (select * from m{len(_steps(W))} union all select * from short),
+o as (select doc_id, kind, s, list_filter(a, lambda x, i: i = 1 or a[i - 1] <> x) as a from p),
+f as (select doc_id, kind, {each('a', digest)} as f from o),
+q as (select e.doc_id, coalesce(max(f) filter (kind = 'text'), []) as a, coalesce(max(f) filter (kind = 'edit'), []) as b, coalesce(max(f) filter (kind = 'following'), []) as c from e left join f using (doc_id) group by all)
 select e.doc_id, length(e.text)::bigint as n_chars, sha256(e.edit) as edited_sha256, array_to_string(a, ' ') as fingerprint, array_to_string(b, ' ') as edited_fingerprint,
   case when len(list_distinct(a || b)) = 0 then 1.0::double else len(list_intersect(list_distinct(a), list_distinct(b)))::double / len(list_distinct(a || b)) end as near_edited,
   case when len(list_distinct(a || c)) = 0 then 1.0::double else len(list_intersect(list_distinct(a), list_distinct(c)))::double / len(list_distinct(a || c)) end as near_next
-from e join p using (doc_id)"""
+from e join q using (doc_id)"""

@@ -164,20 +164,26 @@ def test_repeats_edges(spark):
 
 
 def brute_winnow(text):
-    t = re.findall(r"[^\x09-\x0d\x20]{1,16}", text or "")
-    h = lambda s: hashlib.md5(s.encode()).hexdigest()[:8]
-    g = [h(" ".join(t[i : i + 3])) for i in range(len(t) - 2)] if len(t) >= 3 else [h(" ".join(t))] if t else []
-    chosen = []
-    for i in range(max(1, len(g) - 3)) if g else []:
-        window = range(i, min(len(g), i + 4))
-        p = min(window, key=lambda j: (g[j], -j))
-        if not chosen or chosen[-1] != p:
-            chosen.append(p)
-    return [g[p] for p in chosen], chosen
+    t, k, w = text or "", winnow.K, winnow.W
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()[:16]
+    if len(t) < k:
+        return ([digest(t)], [0]) if t else ([], [])
+    rolled = []
+    for i in range(len(t) - k + 1):
+        h = 0
+        for c in t[i : i + k]:
+            h = (h * winnow.BASE + ord(c)) % winnow.PRIME
+        rolled.append(h)
+    places = []
+    for i in range(max(1, len(rolled) - w + 1)):
+        p = min(range(i, min(len(rolled), i + w)), key=lambda j: (rolled[j], -j))
+        if not places or places[-1] != p:
+            places.append(p)
+    return [digest(t[p : p + k]) for p in places], places
 
 
 def test_winnow(spark):
-    texts = [prose(1, 90), prose(2, 40), "a b", "one", "", None, "x" * 100, "the same the same the same the same", prose(1, 90)]
+    texts = [prose(1, 90), prose(2, 40), "a b", "one", "", None, "x" * 100, "the same the same the same the same", prose(1, 90), "a" * 15, "b" * 16, "né😀ü" * 12, prose(3, 9), prose(4, 3000), (prose(5, 3000) * 2)[:8192], (prose(6, 3000) * 2)[:4100], "z" * 9000]
     marks = {r["doc_id"]: (r["fingerprint"], r["positions"]) for r in winnow.fingerprints(docs(spark, texts)).collect()}
     assert all(marks[i] == brute_winnow(t) for i, t in enumerate(texts, 1))
     got = {r["doc_id"]: r for r in winnow.edited(docs(spark, texts)).collect()}
@@ -193,6 +199,13 @@ def test_winnow(spark):
 
 def test_winnow_edges(spark):
     assert winnow.edited(edge(spark)).count() == 10
+    # any run of K + W - 1 characters that two texts share is met, wherever it stands and whatever is around it
+    r = random.Random(3)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    runs = [noise(winnow.K + winnow.W - 1) for _ in range(20)]
+    pairs = docs(spark, [noise(r.randrange(200)) + x + noise(r.randrange(5000)) for x in runs for _ in range(2)], 0)
+    marks = {x["doc_id"]: set(x["fingerprint"]) for x in winnow.fingerprints(pairs).collect()}
+    assert all(marks[2 * i] & marks[2 * i + 1] for i in range(20))
     assert winnow.edited(empty(spark)).count() == 0
     one = winnow.edited(docs(spark, ["only one here"])).first()
     assert one["near_next"] == 1.0
@@ -201,6 +214,21 @@ def test_winnow_edges(spark):
     assert follows == {i: f"text number {i % 2500}" for i in range(1, 2501)}
 
 
+def test_winnow_uneven_ids(spark):
+    """Ids at both ends of 64 bits, ids that lie close but for a few, ids that are strings, and many rows without id."""
+    ids = [-(2**63), 2**63 - 1, 2**62, -(2**62), *range(4000)]
+    rows = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(4)
+    after = {r["doc_id"]: r["following"] for r in winnow.with_next(rows).collect()}
+    order = sorted(ids)
+    assert after == {a: f"t{b}" for a, b in zip(order, [*order[1:], order[0]])}
+    names = spark.createDataFrame([(f"n{i:05d}", f"t{i}") for i in range(3000)], "doc_id string, text string")
+    after = {r["doc_id"]: r["following"] for r in winnow.with_next(names).collect()}
+    assert after == {f"n{i:05d}": f"t{(i + 1) % 3000}" for i in range(3000)}
+    nulls = spark.createDataFrame([(None, f"t{i}") for i in range(3000)] + [(5, "five")], "doc_id long, text string")
+    got = [(r["doc_id"], r["text"], r["following"]) for r in winnow.with_next(nulls).collect()]
+    assert sorted(x for *_, x in got) == sorted(x for _, x, _ in got) and len(got) == 3001
+
+
 # --- licences
 
 
