@@ -8,14 +8,17 @@ host's winning paths that it has, else the page's own best container. Boilerplat
 out wherever they stand, so no path can bring them back.
 
 Null html gives an empty text. A page without url belongs to the host "". Equal rows get equal texts; ties between paths go
-to the smaller hash. Extra columns are ignored. Malformed, truncated and deeply nested markup is read as far as it goes.
+to the smaller hash. Extra columns are ignored. Markup is read as browsers read it, in one pass: a quote counts only where an attribute's value
+begins, a tag that never ends takes the rest of the page with it, and elements may be nested as deeply as they like. A header inside an article is a header like any other.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-import zlib
+from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,10 +30,12 @@ from chronoloom.llm.common import lean, small, written
 WINNING = 0.05
 #: Hosts whose winning paths are broadcast; beyond, the pages are joined by host.
 BROADCAST_HOSTS = 50_000
-DEPTH = 40
+#: Rows of a host that are joined in one place where winners aren't broadcast.
+SALTS = 16
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z:-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+# a tag from its name on; possessive, so that nothing is read twice
+TAG = re.compile(r"([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+))*+)>")
+ATTRIBUTE = re.compile(r"([^\s=/>\"'][^\s=/>]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed iframe".split())
 CONTAINERS = frozenset("html body main article section div td blockquote center".split())
@@ -72,13 +77,24 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *sorted(re.sub(r"\d+", "#", c) for c in attributes.get("class", "").split())])
 
 
+@lru_cache(1 << 16)
+def _key(above: int, step: str) -> int:
+    """A path as a number, made of that of the container above and of its own step."""
+    return int.from_bytes(hashlib.blake2b(step.encode(errors="replace"), digest_size=8, key=above.to_bytes(8, "big", signed=True)).digest(), "big", signed=True)
+
+
+@lru_cache(64)
+def closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I)
+
+
 def parsed(source: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     """(blocks outside boilerplate: container and text, containers) in page order; containers have their scores and sizes."""
-    root = Node("", "", None, None, False, False)
+    root = Node("", 0, None, None, False, False)
     root.container = root
     stack, blocks, containers = [root], [], [root]
     words: list[str] = []
-    linked, at = [0], 0
+    linked, at, open_ = [0], 0, Counter()
 
     def flush():
         if words:
@@ -107,28 +123,46 @@ def parsed(source: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             if node.tag in BLOCKS:
                 flush()
                 break
+        for node in stack[k:]:
+            open_[node.tag] -= 1
         del stack[k:]
 
     def opened(tags: tuple[str, ...], stop: frozenset[str]) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                return k
-            if stack[k].tag in stop:
-                break
+        if any(open_[t] for t in tags):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in tags:
+                    return k
+                if stack[k].tag in stop:
+                    break
         return 0
 
     size = len(source)
     while at < size:
-        found = TOKEN.search(source, at)
-        if not found:
+        start = source.find("<", at)
+        if start < 0:
             say(source[at:])
             break
-        say(source[at : found.start()])
-        at = found.end()
-        if not (tag := found[2]):
+        after = source[start + 1 : start + 3]
+        ends = after[:1] == "/"
+        name = after[ends : ends + 1]
+        if not (name.isascii() and name.isalpha()):
+            if ends and not name or not ends and name not in ("!", "?"):
+                # a mark like any other
+                say(source[at : start + 1])
+                at = start + 1
+                continue
+            say(source[at:start])
+            comment = source.startswith("!--", start + 1)
+            end = source.find("-->" if comment else ">", start + 4 if comment else start + 2)
+            at = size if end < 0 else end + (3 if comment else 1)
             continue
-        tag = tag.lower()
-        if found[1]:
+        say(source[at:start])
+        found = TAG.match(source, start + 1 + ends)
+        if not found:
+            break
+        at = found.end()
+        tag, rest = found[1].lower(), found[2]
+        if ends:
             if k := opened((tag,), frozenset()):
                 close(k)
             elif tag in BLOCKS:
@@ -143,12 +177,12 @@ def parsed(source: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and (k := opened(("dd", "dt") if tag in ("dd", "dt") else ("td", "th") if tag in ("td", "th") else (tag,), frozenset(("ul", "ol", "dl", "table")))):
                 close(k)
             flush()
-        if tag in VOID or found[3].rstrip().endswith("/") and tag in ("svg", "path", "use"):
+        if tag in VOID or rest.rstrip().endswith("/") and tag in ("svg", "path", "use"):
             continue
-        attributes = {a.lower(): (v or "").strip("\"'") for a, v in ATTRIBUTE.findall(found[3])} if found[3].strip() else {}
+        attributes = {a.lower(): v[1:-1] if v[:1] in ("'", '"') and v[:1] == v[-1:] and len(v) > 1 else v for a, v in reversed(ATTRIBUTE.findall(rest))} if rest.strip() else {}
         if tag in RAW:
             # nothing inside is markup
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+            end = closing(tag).search(source, at)
             at = end.end() if end else size
             continue
         top = stack[-1]
@@ -157,11 +191,12 @@ def parsed(source: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             flush()
         node = Node(tag, top.path, top, top.container, off, top.link or tag == "a")
         if tag in CONTAINERS:
-            node.path = f"{top.path}/{_step(tag, attributes)}" if len(stack) < DEPTH else top.path
+            node.path = _key(top.path, _step(tag, attributes))
             node.container = node
             if not off:
                 containers.append(node)
         stack.append(node)
+        open_[tag] += 1
     flush()
     # from here on, of all text below
     for node in reversed(containers[1:]):
@@ -171,10 +206,6 @@ def parsed(source: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     return blocks, containers
 
 
-def _key(path: str) -> int:
-    return zlib.crc32(path.encode()) << 31 | zlib.crc32(path[::-1].encode()) >> 1
-
-
 BONUS = {"article": 1.6, "main": 1.4}
 
 
@@ -211,7 +242,7 @@ def extracted(source: str | None, paths: list[int] | None) -> str:
         return ""
     blocks, containers = parsed(source)
     for path in paths or ():
-        chosen = {n for n in containers if _key(n.path) == path}
+        chosen = {n for n in containers if n.path == path}
         if chosen and (text := inside(blocks, chosen)):
             return text
     return inside(blocks, {_best(containers)})
@@ -225,7 +256,7 @@ def _votes(batches):
                 node = _best(parsed(source.as_py())[1])
                 if node.score > 0:
                     hosts.append(host.as_py())
-                    paths.append(_key(node.path))
+                    paths.append(node.path)
                     scores.append(1.0)
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(scores, pa.float64())], ["host", "path", "vote"])
 
@@ -252,7 +283,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))
     source = lean(pages).select("page_id", "url", "html", host.alias("host"))
     won = written(winning_paths(source), "paths")
-    won = F.broadcast(won) if small(won, BROADCAST_HOSTS) else won
+    if small(won, BROADCAST_HOSTS):
+        pages_won = source.join(F.broadcast(won), "host", "left")
+    else:
+        # a host's winners are some numbers, so they are copied; its pages are dealt over SALTS tasks
+        own = won.select("host", "paths", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        pages_won = source.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", F.substring("html", 1, 1000), F.length("html")), F.lit(SALTS)).cast("int")).join(own, ["host", "salt"], "left")
     kind = dict(pages.dtypes)["page_id"]
-    text = source.join(won, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(_extract, f"page_id {kind}, url string, text string")
+    text = pages_won.select("page_id", "url", "html", "paths").mapInArrow(_extract, f"page_id {kind}, url string, text string")
     return text.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -372,6 +372,51 @@ def test_html_nested_bodies(spark):
     assert got[50] == "\n".join(["Short one", "Head", *text])
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<p title=it's>Hello world one.</p><p>They don't stop here.</p><p>end</p>", "Hello world one.\nThey don't stop here.\nend"),
+        ("<p title='a > b' data-x=\"<p>\">in</p>", "in"),
+        ("<p a = 'x>' b=y'z>in</p>", "in"),
+        ("1 < 2 and 3 > 2 <5 </ 4>6</>7", "1 < 2 and 3 > 2 <5 67"),
+        ("<p>one</p 'quote>two<!-- > --> three<!DOCTYPE x>four<?php >five", "one\ntwo threefourfive"),
+        ("<p>before<p class='never ends>after", "before"),
+        ("<p class=a'b class=nav>in</p><p class=''>x</p>", "in\nx"),
+        ("<script>if (a</b) '</scripty>'</script >in<style></STYLE>too", "intoo"),
+        ("a<!-- never ends", "a"),
+        ("<p><p/><br/>x<span>y</SPAN>z", "xyz"),
+    ],
+)
+def test_html_markup(source, want):
+    assert html.extracted(source, None) == want
+
+
+def test_html_takes_linear_time():
+    import time
+
+    for source in ("<p>x</p>" + '<a href="x' * 100_000, "<" + "a" * 1_000_000, "<a " * 300_000, "<a b='" * 150_000, "<!--" * 200_000, "</" * 400_000, "<div>" * 150_000 + "</span>" * 100_000, "<div class=a1>" * 60_000 + "x", "<p a=" * 200_000, "<" * 600_000, "<script>" * 100_000, "<title></b" * 100_000):
+        began = time.process_time()
+        html.extracted(source, [1])
+        assert time.process_time() - began < 4, source[:30]
+
+
+def test_html_deep_paths_differ(spark):
+    """Containers below fifty others still have paths of their own, which a host votes for."""
+    page = lambda a, b: "<div class=w>" * 50 + f"<div class=story><p>{a}</div>" + f"<div class=more><p>{b}</div>" * 5
+    rows = [(i, "http://h.org/x", page("story " * 30, "<a href=x>more to read</a> " * 20)) for i in range(9)] + [(9, "http://h.org/x", page("short story", "more " * 40))]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == "short story"
+
+
+def test_html_many_hosts(spark, monkeypatch):
+    """Beyond the hosts that are broadcast the result is the same."""
+    rows = [(i, f"http://h{i % 5}.org/x", PAGE.replace("Title", f"T{i}")) for i in range(40)] + [(99, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, html.main_text(pages).collect()))
+    monkeypatch.setattr(html, "BROADCAST_HOSTS", 2)
+    assert sorted(map(tuple, html.main_text(pages).collect())) == want
+
+
 # --- quality
 
 
