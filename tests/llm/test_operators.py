@@ -305,20 +305,56 @@ def test_urls(spark):
     assert urls.judged(pages.limit(0), labels).count() == 0
 
 
-def test_urls_mined(spark):
+def test_urls_mined(spark, monkeypatch):
     pages = [(i, f"http://{'spam' if i % 3 == 0 else 'good'}.example.org/{'buy' if i % 2 else 'read'}/{i}") for i in range(120)]
     labels = [(i, i % 3 == 0 and i % 2 == 1) for i in range(0, 110)] + [(None, True), (5, None)]
     p, l = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, block boolean")
     got = {r["page_id"]: r["verdict"] for r in urls.judged(p, l).collect()}
     assert got == {i: "block" if i % 3 == 0 and i % 2 == 1 else "allow" for i in range(120)}
-    # the same rules by brute force
-    known = [(set(t["t"]), bool(dict(labels).get(t["page_id"]))) for t in p.select("page_id", urls.tokens(F.col("url")).alias("t")).collect() if t["page_id"] < 110]
-    freq = collections.Counter(c for t, _ in known for n in range(1, 5) for c in itertools.combinations(sorted(t), n))
-    bad = collections.Counter(c for t, b in known if b for n in range(1, 5) for c in itertools.combinations(sorted(t), n))
-    rules = {c: n / freq[c] for c, n in bad.items() if n >= 10 and n / freq[c] >= 0.6}
-    rules = {c: x for c, x in rules.items() if not any(rules.get(c[:i] + c[i + 1 :], 0) >= x for i in range(len(c)))}
-    mined = urls.mine(p.join(l.where("block is not null"), "page_id")).collect()
-    assert {tuple(sorted(r["rule"])): r["confidence"] for r in mined} == pytest.approx(rules)
+    # beyond what is broadcast the result is the same
+    monkeypatch.setattr(urls, "BROADCAST_SETS", 0)
+    assert got == {r["page_id"]: r["verdict"] for r in urls.judged(p, l).collect()}
+
+
+def brute_rules(known, support=urls.SUPPORT, confidence=urls.CONFIDENCE):
+    """Rules of (tokens, block) by counting all sets of tokens."""
+    least, z = max(int(support * len(known)), 4), urls.DEVIATIONS
+    subsets = lambda t: (frozenset(c) for n in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), n))
+    freq = collections.Counter(c for t, _ in known for c in subsets(t))
+    bad = collections.Counter(c for t, b in known if b for c in subsets(t))
+    wilson = lambda n, of: (n / of + z * z / (2 * of) - z * ((n / of) * (1 - n / of) / of + z * z / (4 * of * of)) ** 0.5) / (1 + z * z / of)
+    rules = {c: n / freq[c] for c, n in bad.items() if n >= least and n / freq[c] >= confidence and wilson(n, freq[c]) >= 0.5}
+    return {c: x for c, x in rules.items() if not any(q < c and y >= x for q, y in rules.items())}
+
+
+def test_urls_mined_against_brute_force(spark):
+    """Rules of up to six tokens; what they match is the same, as an item of several tokens stands for rules with each of them."""
+    r = random.Random(12)
+    paths = ["a", "b", "c", "d", "e", "f"]
+    rows = []
+    for i in range(400):
+        some = sorted(r.sample(paths, r.randrange(1, 6)))
+        bad = r.random() < (0.95 if {"a", "b", "c", "d"} <= set(some) else 0.9 if {"e", "f"} <= set(some) and "a" not in some else 0.1)
+        rows.append((i, f"http://{r.choice(['x', 'y', 'z'])}.example.org/{'/'.join(some)}?k={i}&u=1", bad))
+    p = spark.createDataFrame(rows, "page_id long, url string, block boolean")
+    t = {x["page_id"]: frozenset(x["t"]) for x in p.select("page_id", urls.tokens(F.col("url")).alias("t")).collect()}
+    want = brute_rules([(t[i], b) for i, _, b in rows])
+    mined = urls.mine(p.select("url", "block")).collect()
+    got = {frozenset(c): x["confidence"] for x in mined for c in itertools.product(*x["rule"])}
+    assert got == pytest.approx(want) and max(map(len, want)) >= 4
+    verdicts = {x["page_id"]: x["verdict"] for x in urls.judged(p.select("page_id", "url"), p.select("page_id", "block")).collect()}
+    assert verdicts == {i: "block" if any(c <= t[i] for c in want) else "allow" for i in t} and "block" in verdicts.values()
+
+
+def test_urls_of_many_tokens(spark):
+    """Forty tokens that always come together are one item, not 2 ** 40 sets."""
+    names = "&".join(f"name{k}=1" for k in range(40))
+    rows = [(i, f"http://h{i % 4}.org/x?{names if i % 2 else 'other=1'}", i % 2 == 1 and i % 10 > 1) for i in range(80)]
+    p = spark.createDataFrame(rows, "page_id long, url string, block boolean")
+    mined = urls.mine(p.select("url", "block")).collect()
+    assert any("q:name7" in item for x in mined for item in x["rule"])
+    got = {x["page_id"]: x["verdict"] for x in urls.judged(p.select("page_id", "url"), p.select("page_id", "block")).collect()}
+    assert all(got[i] == "block" for i in range(80) if i % 2)
 
 
 # --- HTML
