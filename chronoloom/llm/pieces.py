@@ -1,12 +1,13 @@
 """SentencePiece encoding and decoding with a weighted finite-state transducer.
 
-Compiled from a model file: the normaliser (a space becomes the piece mark, a mark is put before the text), the pieces (a
-trie whose arcs write piece ids, weighted by minus their scores) and the byte fallback (a character that no piece has becomes its
-UTF-8 bytes). A text is composed with the transducer lazily and the shortest path in the tropical semiring is read off.
-
-A model of kind BPE restricts which piece may follow which: the states carry the last piece, and an arc exists only if merging
-the two pieces' characters by score gives these two pieces again. One path is left, that which merging gives. No
-piece has the mark after another character, so a text falls apart before every mark, as well as at characters without
+Compiled from a model file, as the composition of two machines: the normaliser (a space becomes the piece mark, a mark is put before the text) and the pieces
+(a trie whose arcs write piece ids, weighted by minus their scores, and the byte fallback: a character that no piece has becomes its
+UTF-8 bytes). Composition leaves one trie over the characters of the input, in which an arc for a mark is one for a space too. A text is
+composed with it place by place, and the shortest path in the tropical semiring is read off: weights add along a path, the least is chosen among paths.
+
+A model of kind BPE restricts which piece may follow which, as its merges are no sum of weights: the states carry the last piece, and an arc exists only if merging
+the two pieces' characters by score gives these two pieces again. The shortest path over those states is what merging gives. No
+piece has the mark after another character, so a text falls apart before every mark or space, as well as at characters without
 a piece, and shortest paths of parts are kept.
 
 Null text counts as empty and has no ids. Decoding turns the mark into a space, also where the text itself had the mark, and
@@ -68,6 +69,18 @@ def _fields(raw: bytes):
                 raise ValueError(f"wire type {kind}")
 
 
+class Leaf:
+    """The arc that ends a piece."""
+
+    __slots__ = ("piece", "ids", "weight", "whole", "after")
+
+    def __init__(self, piece: str, ids: tuple[int, ...], weight: float):
+        self.piece, self.ids, self.weight = piece, ids, weight
+        #: whether merging ever gives the piece, and after which pieces it may stand; as far as they were needed
+        self.whole: bool | None = None
+        self.after: dict[str | None, bool] = {}
+
+
 class Transducer:
     """A compiled model."""
 
@@ -98,13 +111,23 @@ class Transducer:
             node = self.trie
             for c in p:
                 node = node.setdefault(c, {})
-            node[""] = (i, p)
-        self.follows: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+            node[""] = Leaf(p, (i,), -self.pieces[i][1])
+        #: pairs of pieces that leaves remember
+        self.held = 0
         self.kept: dict[str, tuple[int, ...]] = {}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has the mark after another character")
-        self.split = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+" if not any("\n" in p for p in self.ids) else f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
+        # the normaliser's arcs: a space reads as the mark
+        nodes, seen = [self.trie], set()
+        while nodes:
+            node = nodes.pop()
+            if id(node) not in seen:
+                seen.add(id(node))
+                nodes += [x for c, x in node.items() if c]
+                if MARK in node:
+                    node[" "] = node[MARK]
+        line = "" if any("\n" in p for p in self.ids) else "\n"
+        self.split = re.compile(f"[ {MARK}]+[^ {MARK}{line}]*|[^ {MARK}{line}]+" + (f"|{line}+" if line else "")).findall
         #: what decoding writes for each id
         self.written = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.pieces]
 
@@ -122,111 +145,63 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _reachable(self, piece: str) -> bool:
-        """Whether merging ever gives the piece."""
-        if self.kind == UNIGRAM or len(piece) == 1:
-            return True
-        if (known := self.whole.get(piece)) is None:
-            known = self.whole[piece] = self._merged(piece) == [piece]
-        return known
-
-    def _may_follow(self, last: str | None, piece: str) -> bool:
-        if last is None or self.kind == UNIGRAM:
-            return True
-        key = (last, piece)
-        if (known := self.follows.get(key)) is None:
-            known = self._merged(last + piece) == [last, piece]
-            if len(self.follows) < FOLLOWS:
-                self.follows[key] = known
-        return known
-
-    def _arcs(self, part: str, at: int) -> list[tuple[int, str | None, tuple[int, ...]]]:
-        """(end, piece, ids) of the arcs that leave a place, shortest first; pieces that merging never gives are left out."""
-        node, k, out = self.trie.get(part[at]), at + 1, []
-        if node is None:
-            # no piece follows or precedes such a character otherwise than it does
-            return [(k, None, tuple(self.bytes[b] for b in part[at].encode()) if self.bytes else (self.unknown,))]
-        n = len(part)
-        while node is not None:
-            leaf = node.get("")
-            if leaf is not None and (k - at == 1 or self._reachable(leaf[1])):
-                out.append((k, leaf[1], (leaf[0],)))
-            if k == n:
-                break
-            node, k = node.get(part[k]), k + 1
-        return out
-
-    def _only(self, part: str) -> tuple[int, ...] | None:
-        """The one path of a BPE machine's composition with a part, found depth first along the longest arcs; of one path, the tropical sum needs no comparison."""
-        n, dead, stack = len(part), set(), []
-        at, last, arcs = 0, None, self._arcs(part, 0)
-        follows = self.follows
-        while True:
-            while arcs:
-                end, piece, ids = arcs.pop()
-                if (end, piece) in dead:
-                    continue
-                if last is not None and piece is not None:
-                    ok = follows.get((last, piece))
-                    if ok is None:
-                        ok = self._may_follow(last, piece)
-                    if not ok:
-                        continue
-                stack.append((at, last, arcs, ids))
-                if end == n:
-                    return tuple(i for x in stack for i in x[3])
-                at, last, arcs = end, piece, self._arcs(part, end)
-            if not stack:
-                return None
-            dead.add((at, last))
-            at, last, arcs, _ = stack.pop()
+    def _may_follow(self, last: str | None, leaf: Leaf) -> bool:
+        ok = last is None or self.kind == UNIGRAM or self._merged(last + leaf.piece) == [last, leaf.piece]
+        if self.held < FOLLOWS:
+            self.held += 1
+            leaf.after[last] = ok
+        return ok
 
     def path(self, part: str) -> tuple[int, ...]:
-        """Ids on the shortest path of one part of a normalised text."""
-        if self.kind == BPE and (only := self._only(part)) is not None:
-            return only
-        n = len(part)
+        """Ids on the shortest path of the machine composed with one part of a text."""
+        n, trie = len(part), self.trie
         # states: place and last piece; value: weight, ids of the arc, place and piece before
-        states: list[dict[str | None, tuple]] = [{} for _ in range(n + 1)]
-        states[0][None] = (0.0, (), -1, None)
+        states: list[dict[str | None, tuple] | None] = [None] * (n + 1)
+        states[0] = {None: (0.0, (), -1, None)}
         for at in range(n):
             here = states[at]
-            if not here:
+            if here is None:
                 continue
-            node, k = self.trie.get(part[at]), at + 1
+            node, k = trie.get(part[at]), at + 1
             if node is None:
-                c = part[at]
-                arc = tuple(self.bytes[b] for b in c.encode()) if self.bytes else (self.unknown,)
+                # no piece follows or precedes such a character otherwise than it does
+                c = MARK if part[at] == " " else part[at]
                 last, value = min(here.items(), key=lambda x: x[1][0])
-                states[at + 1][None] = (value[0], arc, at, last)
+                states[k] = {None: (value[0], tuple(self.bytes[b] for b in c.encode()) if self.bytes else (self.unknown,), at, last)}
                 continue
             while node is not None:
-                if leaf := node.get(""):
-                    i, piece = leaf
-                    if self._reachable(piece):
-                        cost = -self.pieces[i][1]
+                leaf = node.get("")
+                if leaf is not None:
+                    if leaf.whole is None:
+                        # whether merging ever gives the piece
+                        leaf.whole = self.kind == UNIGRAM or len(leaf.piece) == 1 or self._merged(leaf.piece) == [leaf.piece]
+                    if leaf.whole:
+                        after, piece, there = leaf.after, leaf.piece, states[k]
                         for last, value in here.items():
-                            if self._may_follow(last, piece):
-                                old = states[k].get(piece)
-                                if old is None or value[0] + cost < old[0]:
-                                    states[k][piece] = (value[0] + cost, (i,), at, last)
+                            ok = after.get(last)
+                            if ok or ok is None and self._may_follow(last, leaf):
+                                weight = value[0] + leaf.weight
+                                if there is None:
+                                    there = states[k] = {piece: (weight, leaf.ids, at, last)}
+                                elif (best := there.get(piece)) is None or weight < best[0]:
+                                    there[piece] = (weight, leaf.ids, at, last)
                 if k == n:
                     break
                 node, k = node.get(part[k]), k + 1
-        out: list[int] = []
+        out: list[tuple[int, ...]] = []
         at, last = n, min(states[n].items(), key=lambda x: x[1][0])[0]
         while at > 0:
-            _, arc, before, previous = states[at][last]
-            out[:0] = arc
+            _, ids, before, previous = states[at][last]
+            out.append(ids)
             at, last = before, previous
-        return tuple(out)
+        return tuple(i for ids in reversed(out) for i in ids)
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         out: list[int] = []
         kept = self.kept
-        for part in self.split(self.prefix + text.replace(" ", MARK)):
+        for part in self.split(self.prefix + text):
             ids = kept.get(part)
             if ids is None:
                 ids = self.path(part)
