@@ -11,12 +11,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text that one vectorised step handles at once; bounds the memory of a Python worker.
 CHUNK_BYTES = 1 << 19
 # memory that a step has freed goes back to the system, as workers live on with the next steps
 pa.set_memory_pool(pa.system_memory_pool())
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Rows of one key that a task may get, and keys of more at most.
+HEAVY, HEAVIEST = 1000, 5000
+#: Paths that written() made.
+SCRATCH: list[str] = []
 U64 = np.uint64
 _BASE, _SEED = 0x9E3779B97F4A7C15 | 1, 20240229
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(_SEED)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -43,8 +48,10 @@ def lean(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one of our own where the session names none."""
+    """The folder all executors share: spark.checkpoint.dir; where the session names none and runs on this machine alone, a temporary one of our own."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='chronoloom-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -54,9 +61,54 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as a table in the shared folder and read again: later steps survive the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
+    SCRATCH.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, since: int = 0) -> None:
+    """Removes the tables that written() made, from the one numbered since on; what reads them can't be computed any more."""
+    paths, SCRATCH[since:] = SCRATCH[since:], []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like name that df lacks."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def fields(df: DataFrame, *columns: str) -> StructType:
+    """The schema of some columns of df, whatever characters their names have."""
+    return StructType([df.schema[c] for c in columns])
+
+
+def heavy(groups: DataFrame, *keys: str) -> DataFrame | None:
+    """The keys of groups(keys, n) whose n rows are too many for one task: over HEAVY and over a HEAVIEST-th of all. There are HEAVIEST of them at most, so they may be broadcast; None if there are none."""
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    found = written(groups.where(F.col("n") > max(HEAVY, total // HEAVIEST)).select(*keys), "heavy")
+    return found if found.head(1) else None
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, many: DataFrame | None) -> DataFrame:
+    """left.join(right, keys, how), for inner, left, left_semi and left_anti joins with a right side of one row a key.
+
+    Rows of left under the keys in many, of heavy(), are dealt over as many tasks as a shuffle has, which all get the right side's row for them.
+    """
+    if many is None:
+        return left.join(right, keys, how)
+    many = F.broadcast(many)
+    tasks = max(32, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salt = fresh(left, fresh(right, "salt"))
+    rare = left.join(many, keys, "left_anti").join(right.join(many, keys, "left_anti"), keys, how)
+    dealt = left.join(many, keys, "left_semi").withColumn(salt, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in left.columns)), F.lit(tasks)).cast("int"))
+    copies = right.join(many, keys, "left_semi").withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    return rare.unionByName(dealt.join(copies, [*keys, salt], how).drop(salt))
+
+
 def small(df: DataFrame, limit: int) -> bool:
     """Whether df has at most limit rows; reads no more than are needed to tell."""
     return df.limit(limit + 1).count() <= limit

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import LOWER, U64, lean, prefix_hash, signed, span_hash, texts
+from chronoloom.llm.common import HEAVY, LOWER, U64, dealt_join, fresh, heavy, lean, prefix_hash, signed, span_hash, texts, written
 
 #: Parts of items in a block, which has a basis of its own with as many directions.
 RANK = 256
@@ -177,7 +177,7 @@ def _projected(own: np.ndarray, idf: np.ndarray, latent: np.ndarray, block: list
     return places, rows, matrix
 
 
-def _search(vocabulary: np.ndarray, idf: np.ndarray, rare: float, blocks: list[tuple], ids: list[list], items: list[list[int]], cosine: float):
+def _search(vocabulary: np.ndarray, idf: np.ndarray, rare: float, blocks: list[tuple], ids: list[list], id_kind: pa.DataType, items: list[list[int]], cosine: float):
     """blocks: for the parts of each the indexes of their items, and what _projected() gives."""
     weight = np.append(idf**2, rare**2)
 
@@ -226,7 +226,7 @@ def _search(vocabulary: np.ndarray, idf: np.ndarray, rare: float, blocks: list[t
                 if best:
                     keys = [(d, i, item) for d, i in best for item in ids[i]]
                     docs = batch.column("doc_id").slice(a, b - a).take(pa.array([int(d) for d, *_ in keys]))
-                    yield pa.RecordBatch.from_arrays([docs, pa.array([k[2] for k in keys], pa.int64()), *(pa.array([best[k[:2]][j] for k in keys], pa.float64()) for j in range(3))], ["doc_id", "item_id", "cosine", "covered", "answer"])
+                    yield pa.RecordBatch.from_arrays([docs, pa.array([k[2] for k in keys], id_kind), *(pa.array([best[k[:2]][j] for k in keys], pa.float64()) for j in range(3))], ["doc_id", "item_id", "cosine", "covered", "answer"])
 
     return run
 
@@ -234,9 +234,9 @@ def _search(vocabulary: np.ndarray, idf: np.ndarray, rare: float, blocks: list[t
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = RANK) -> DataFrame:
     """(doc_id, item_id, cosine, covered, answer, contaminated): a row for each document of docs(doc_id, text) and item of benchmark(item_id, text) that it holds."""
     spark = lean(docs).sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, item_id long, cosine double, covered double, answer double"
+    schema = f"doc_id {kind}, item_id {dict(benchmark.dtypes)['item_id']}, cosine double, covered double, answer double"
     total = items.mapInArrow(_n_parts, "n long").agg(F.sum("n")).first()[0] or 0
     passes = max(1, -(-total // PASS))
     out = None
@@ -272,13 +272,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
             order = np.argsort(names)
             latent = basis(named, names[order], idf[own][order], len(block))[np.argsort(order)]
             blocks.append(([j for j, _ in cut[i : i + rank]], *_projected(own, idf, latent, block)))
-        found = docs.select("doc_id", "text").mapInArrow(_search(vocabulary, idf, rare, blocks, list(slots.values()), words, cosine), schema)
+        found = docs.select("doc_id", "text").mapInArrow(_search(vocabulary, idf, rare, blocks, list(slots.values()), known["item_id"].type, words, cosine), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumn("contaminated", F.lit(True))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Rows of docs, all columns, that hold no item; rows without doc_id are judged by their text like the others."""
-    named = docs.withColumn("__text", F.xxhash64("text"))
-    hits = contaminated(named.select(F.col("__text").alias("doc_id"), "text"), benchmark, cosine).select(F.col("doc_id").alias("__text")).distinct()
-    return named.join(hits, "__text", "left_anti").select(*docs.columns)
+    key = fresh(docs, "__text")
+    hits = contaminated(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark, cosine).select(F.col("doc_id").alias(key)).distinct()
+    # texts that hold an item may be many or few; copies of one text may be a third of all, so those are dealt
+    groups = docs.groupBy(F.xxhash64("text").alias(key)).agg(F.count("*").alias("n")).where(F.col("n") > HEAVY)
+    return dealt_join(docs.withColumn(key, F.xxhash64("text")), written(hits, "hits"), [key], "left_anti", heavy(groups, key)).select(*(F.col(f"`{c}`") for c in docs.columns))

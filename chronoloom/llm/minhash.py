@@ -18,8 +18,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from chronoloom.llm.common import U64, components, lean, lists, mix, signed, span_hash, prefix_hash, texts, words, LOWER, written
+from chronoloom.llm.common import LOWER, U64, components, dealt_join, heavy, lean, lists, mix, prefix_hash, signed, span_hash, texts, words, written
+from chronoloom.llm.suffix import Sieve, squeeze
 
 BANDS, ROWS = 42, 6
 #: Members of a block; two blocks meet in one task.
@@ -100,14 +102,6 @@ def _sign(size: int, bands: int, rows: int):
     return run
 
 
-def _squeeze(batches):
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for whole in batches:
-        for i in range(0, whole.num_rows, 128):
-            batch = whole.slice(i, 128)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([pack((x or "").encode()) for x in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "z"])
-
-
 def _sets(size: int):
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
@@ -171,35 +165,48 @@ def links(docs: DataFrame, signed_docs: DataFrame, size: int, percent: int) -> t
     classes = written(classes.select("k1", "k2", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.bands").alias("bands")), "classes")
     rows = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    members = written(rows.join(shared, "bucket"), "members")
+    shared = written(shared.withColumn("n", F.col("members")), "buckets")
+    many = heavy(shared, "bucket")
+    members = written(dealt_join(rows.withColumnRenamed("n", "size"), shared.drop("n"), ["bucket"], "inner", many).withColumnRenamed("size", "n"), "members")
     # centres: the smallest member, and the one that meets most others in all its buckets
     met = members.groupBy("rep").agg(F.sum("members").alias("met"))
     members = members.join(met, "rep")
     hubs = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("p"), F.max(F.struct("met", "rep", "n")).alias("q"))
     near = F.expr(f"100 * least(c.n, n) >= {percent} * greatest(c.n, n)")
-    pairs = members.join(hubs, "bucket").select(F.explode(F.array("p", F.struct("q.rep", "q.n"))).alias("c"), "rep", "n").where(near & (F.col("c.rep") != F.col("rep")))
+    hubs = written(hubs, "hubs")
+    pairs = dealt_join(members, hubs, ["bucket"], "inner", many).select(F.explode(F.array("p", F.struct("q.rep", "q.n"))).alias("c"), "rep", "n").where(near & (F.col("c.rep") != F.col("rep")))
     pairs = written(pairs.select(F.least("c.rep", "rep").alias("a"), F.greatest("c.rep", "rep").alias("b")).distinct(), "pairs")
     # a text may meet any member of its buckets later
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").mapInArrow(_squeeze, "doc_id long, z binary").join(wanted, "doc_id").mapInArrow(_sets(size), "doc_id long, shingles binary")
-    sets = written(sets.distinct(), "sets")
+    wanted = written(wanted, "wanted")
+    # texts that are in no shared bucket needn't move
+    packed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(squeeze(["doc_id"], Sieve(wanted.select(F.col("doc_id").alias("k")))), "doc_id long, z binary")
+    sets = written(packed.join(wanted, "doc_id").mapInArrow(_sets(size), "doc_id long, shingles binary").distinct(), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sx"))
         y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sy"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "sx", "sy").mapInArrow(_confirm(percent), "a long, b long, ok boolean").where("ok").select("a", "b").distinct()
+        # a hub has a pair with each member
+        both = pairs
+        for side, of in (("a", x), ("b", y)):
+            both = dealt_join(both, of, [side], "inner", heavy(pairs.groupBy(side).agg(F.count("*").alias("n")), side))
+        return both.select("a", "b", "sx", "sy").mapInArrow(_confirm(percent), "a long, b long, ok boolean").where("ok").select("a", "b").distinct()
 
     edges = written(confirmed(pairs), "links")
     # all members of the buckets of one hub: those outside its component meet everyone in another component, block by block
-    around = members.join(hubs.select("bucket", F.col("q.rep").alias("hub")), "bucket").select("hub", "rep").distinct()
+    around = dealt_join(members.select("bucket", "rep"), hubs.select("bucket", F.col("q.rep").alias("hub")), ["bucket"], "inner", many).select("hub", "rep").distinct()
     comp = written(components(edges), "components")
-    around = around.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    main = comp.select(F.col("node").alias("hub"), F.col("component").alias("main"))
-    around = written(around.join(main, "hub", "left").withColumn("outside", F.col("component") != F.coalesce("main", "hub")).select("hub", "rep", "component", "outside"), "around")
+    around = written(around.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
+    groups = written(around.groupBy("hub").agg(F.count("*").alias("n")), "groups")
+    many_around = heavy(groups, "hub")
+    main = groups.select("hub").join(comp.select(F.col("node").alias("hub"), F.col("component").alias("main")), "hub", "left")
+    around = dealt_join(around, main, ["hub"], "left", many_around).withColumn("outside", F.col("component") != F.coalesce("main", "hub"))
+    around = written(around.select("hub", "rep", "component", "outside"), "around")
     counts = around.groupBy("hub").agg(F.count("*").alias("all"), F.count_if("outside").alias("out")).where("out > 0")
+    counts = written(counts, "counts")
     step = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     place = lambda n: F.pmod(F.xxhash64("rep"), step(n)).cast("int")
-    around = around.join(counts, "hub").withColumn("i", place("out")).withColumn("j", place("all"))
+    around = dealt_join(around, counts, ["hub"], "inner", many_around).withColumn("i", place("out")).withColumn("j", place("all"))
     row = ["hub", "rep", "component"]
     x = around.where("outside").select(*row, "i", F.explode(F.sequence(F.lit(0), step("all") - 1)).alias("j"), F.lit(True).alias("asks"))
     y = around.select(*row, F.explode(F.sequence(F.lit(0), step("out") - 1)).alias("i"), "j", F.lit(False).alias("asks"))
@@ -213,7 +220,10 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, bands: in
 
     Links texts whose sets of size-word shingles have 100 * intersection >= percent * union. A pair at 80 per cent shares
     no bucket with a probability of 3e-6. A component of copies is named by its smallest doc_id, which alone is kept.
+    doc_id is of a whole number's type; other keys need numbers of their own, as corpus_pipeline gives rows.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id has to be a whole number")
     source = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = written(source.mapInArrow(_sign(size, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signatures")
     classes, edges = links(source, marks, size, percent)

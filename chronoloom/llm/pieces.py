@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from chronoloom.llm.common import lean, lists
+from chronoloom.llm.common import fields, lean, lists
 
 MARK = "▁"
 #: Kinds of pieces in the model format.
@@ -233,7 +234,7 @@ def machine_of(model: bytes) -> Transducer:
     return Transducer(model)
 
 
-def _encode(model: bytes, columns: list[str]):
+def _encode(model: bytes):
     def run(batches):
         machine = machine_of(model)
         for batch in batches:
@@ -247,8 +248,8 @@ def _encode(model: bytes, columns: list[str]):
                     same.append(back == (text or ""))
                 counts = [len(x) for x in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in columns), lists(np.concatenate([*ids, np.zeros(0, np.int32)]), counts), pa.array(counts, pa.int64()), pa.array(digests), pa.array(same)],
-                    [*columns, "__ids", "__n", "__sha", "__same"],
+                    [part.column("row"), lists(np.concatenate([*ids, np.zeros(0, np.int32)]), counts), pa.array(counts, pa.int64()), pa.array(digests), pa.array(same)],
+                    ["row", "ids", "n_ids", "decoded_sha256", "round_trip"],
                 )
 
     return run
@@ -257,12 +258,16 @@ def _encode(model: bytes, columns: list[str]):
 def encoded(docs: DataFrame, columns: list[str] | None = None, model: str | None = None) -> DataFrame:
     """The chosen columns of docs (default doc_id), ids, n_ids, decoded_sha256 and round_trip (whether decoding gives the text again).
 
-    Columns of docs that bear these names are replaced.
+    Columns of docs that bear these names, in whatever case, are replaced.
     """
-    columns = [f.name for f in docs.schema if f.name in (["doc_id"] if columns is None else columns) and f.name not in ("ids", "n_ids", "decoded_sha256", "round_trip")]
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns]
-    out = lean(docs).select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(_encode(read_model(model), columns), ", ".join([*kinds, "__ids array<int>, __n long, __sha string, __same boolean"]))
-    return out.withColumnsRenamed({"__ids": "ids", "__n": "n_ids", "__sha": "decoded_sha256", "__same": "round_trip"})
+    made = {"ids": ArrayType(IntegerType()), "n_ids": "long", "decoded_sha256": "string", "round_trip": "boolean"}
+    columns = [c for c in docs.columns if c in (["doc_id"] if columns is None else columns) and c.lower() not in made]
+    # they go along as one, so their names can't clash
+    source = lean(docs).select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "text")
+    schema = fields(source, "row")
+    for name, kind in made.items():
+        schema = schema.add(name, kind)
+    return source.mapInArrow(_encode(read_model(model)), schema).select("row.*", *made)
 
 
 def _decode(model: bytes):

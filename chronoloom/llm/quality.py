@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import LOWER, U64, lean, lists, mix, prefix_hash, span_hash, texts, words
+from chronoloom.llm.common import LOWER, U64, fields, lean, lists, mix, prefix_hash, span_hash, texts, words
 
 WIDTH = 1 << 16
 SAMPLE = 8000
@@ -103,7 +103,7 @@ def _score(weights: np.ndarray, cuts: np.ndarray, columns: list[str]):
                 sums = np.diff(np.concatenate([[0.0], np.cumsum(weights[w])])[first])
                 s = sums / np.maximum(np.diff(first), 1) + weights[shape].sum(1)
                 tails = [_logistic(s - c) for c in cuts]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in columns), pa.array(np.sum(tails, 0)), *map(pa.array, tails)], [*columns, "expected_grade", *(f"__p{k + 1}" for k in range(len(tails)))])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in columns), pa.array(np.sum(tails, 0)), *map(pa.array, tails)], [*columns, "expected_grade", *(f"p{k + 1}" for k in range(len(tails)))])
 
     return run
 
@@ -115,21 +115,24 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, ratings: DataFrame, columns: list[str] | None = None, sample: int = SAMPLE) -> DataFrame:
-    """The chosen columns of docs (default doc_id), expected_grade, and p1, p2: the probabilities of grade 1 and 2 at least."""
-    columns = ["doc_id"] if columns is None else columns
+    """The chosen columns of docs (default doc_id), expected_grade, and p1, p2: the probabilities of grade 1 and 2 at least. Columns of docs that bear these names are replaced."""
+    made = ["expected_grade", *(f"p{k + 1}" for k in range(GRADES - 1))]
+    columns = [c for c in docs.columns if c in (["doc_id"] if columns is None else columns) and c.lower() not in made]
     weights, cuts = train(docs, ratings, sample)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
-    columns = [f.name for f in docs.schema if f.name in columns]
-    tails = [f"__p{k + 1}" for k in range(GRADES - 1)]
-    # text is read under another name, lest it be wanted twice
     source = lean(docs).select(*columns, *([] if "text" in columns else ["text"]))
-    return source.mapInArrow(_score(weights, cuts, columns), ", ".join([kinds, "expected_grade double", *(f"{t} double" for t in tails)])).withColumnsRenamed({t: t[2:] for t in tails})
+    schema = fields(source, *columns)
+    for c in made:
+        schema = schema.add(c, "double")
+    return source.mapInArrow(_score(weights, cuts, columns), schema)
 
 
 def selected(docs: DataFrame, ratings: DataFrame, least: float = 0.5, grade: int = 1, sample: int = SAMPLE) -> DataFrame:
     """Rows of docs, all columns, whose probability of the grade or better is at least least."""
-    p = f"__p{grade}"
     weights, cuts = train(docs, ratings, sample)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = lean(docs).mapInArrow(_score(weights, cuts, docs.columns), ", ".join([kinds, "__grade double", *(f"__p{k + 1} double" for k in range(GRADES - 1))]))
-    return out.where(F.col(p) >= least).select(*docs.columns)
+    # all columns go along as one, so their names can't clash with those of the scores
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    schema = fields(packed, "row").add("grade", "double")
+    for k in range(GRADES - 1):
+        schema = schema.add(f"p{k + 1}", "double")
+    out = lean(packed).mapInArrow(_score(weights, cuts, ["row"]), schema)
+    return out.where(F.col(f"p{grade}") >= least).select("row.*")

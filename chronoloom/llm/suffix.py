@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import U64, lean, lists, mix, prefix_hash, signed, span_hash, texts, written
+from chronoloom.llm.common import U64, dealt_join, fields, heavy, lean, lists, mix, prefix_hash, signed, span_hash, texts, written
 
 LENGTH, GRAM, PART = 200, 64, 16
 SIEVE = 22
@@ -229,7 +229,7 @@ def removed(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray, whole: np.
     return out
 
 
-def _finish(length: int, gram: int, size: int, columns: list[str], text: bool, sieve: Sieve | None = None):
+def _finish(length: int, gram: int, size: int, text: bool, sieve: Sieve | None = None):
     """What is left of texts; with a sieve, of rows as they come whose key __k is outside, so that nothing is marked in them."""
 
     def outside(batches):
@@ -259,60 +259,69 @@ def _finish(length: int, gram: int, size: int, columns: list[str], text: bool, s
                     else:
                         rows.append((len(own), int(cut.sum()), spans, hashlib.sha256(own[~cut].tobytes()).hexdigest()))
                 n, r, s, x = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([*(part.column(c).slice(a, b - a) for c in columns), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(x, pa.string())], [*columns, "n_bytes", "n_removed", "n_spans", "text" if text else "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column("row").slice(a, b - a), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(x, pa.string())], ["row", "n_bytes", "n_removed", "n_spans", "text" if text else "kept_sha256"])
 
     return run
 
 
 def _repeated(rows: DataFrame, *by: str) -> DataFrame:
     """Groups that rows of two texts at least share."""
-    return rows.groupBy(*by).agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select(*by, "lo")
+    return rows.groupBy(*by).agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n")).where("lo < hi").select(*by, "lo", "n")
 
 
-def _onward(rows: DataFrame) -> DataFrame:
-    """Rows that the next pass takes: those that are alone, and one of each repeated group that has such a neighbour under its gram."""
-    hot = rows.where("lo is null").select("h").distinct()
-    return rows.where("lo is null or k = lo").join(hot, "h", "left_semi")
+def _onward(rows: DataFrame, by: str | list[str], many: DataFrame | None) -> DataFrame:
+    """Rows that the next pass takes: those that are alone, and one of each repeated group that has such a neighbour under its key."""
+    by = [by] if isinstance(by, str) else by
+    hot = rows.where("lo is null").select(*by).distinct()
+    return dealt_join(rows.where("lo is null or k = lo"), hot, by, "left_semi", many)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int = PART, text: bool = False) -> DataFrame:
     """Removes each byte of a text that a string of length bytes covers which also starts anywhere else in docs(doc_id, text, ...).
 
-    Returns one row per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256; with text=True, all columns of docs and the
-    remaining text instead of its hash, and columns of docs that bear these names are replaced. There, a character of which
-    some bytes would go and some stay is kept whole.
+    Returns one row per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256; with text=True, the columns of docs, of which text
+    is what remains. There, a character of which some bytes would go and some stay is kept whole.
     """
-    made = {"text", "n_bytes", "n_removed", "n_spans", "z", "found", "copied", "__k"}
-    columns = [c for c in docs.columns if c not in made] if text else ["doc_id"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
-    source = lean(docs).select(*columns, F.coalesce("text", F.lit("")).alias("text")).withColumn("__k", F.xxhash64("text"))
+    # all other columns go along as one, so their names can't clash
+    others = [c for c in docs.columns if c != "text"] if text else ["doc_id"]
+    source = lean(docs).select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("__k", F.xxhash64("text"))
     rows = source.select(F.col("__k").alias("k"), "text").mapInArrow(_scan(length, gram), "h long, c long, k long")
     rows = written(rows, "grams")
-    found = rows.join(_repeated(rows, "h").select("h"), "h").distinct()
+    shared = written(_repeated(rows, "h"), "shared-grams")
+    many = heavy(shared, "h")
+    found = dealt_join(rows, shared.select("h"), ["h"], "left_semi", many).distinct()
     found = written(found, "runs")
-    both = found.join(_repeated(found, "h", "c"), ["h", "c"], "left")
-    copied = source.groupBy("__k", F.xxhash64("text", F.lit(1)).alias("k2")).agg(F.count("*").alias("n"), F.min("doc_id").alias("id")).where("n > 1").groupBy(F.col("__k").alias("k")).agg(F.min("id").alias("id"))
+    again = written(_repeated(found, "h", "c"), "repeated-runs")
+    both = written(dealt_join(found, again.drop("n"), ["h", "c"], "left", heavy(again, "h", "c")), "marked-runs")
+    copied = source.groupBy("__k", F.xxhash64("text", F.lit(1)).alias("k2")).agg(F.count("*").alias("n"), F.min("doc_id").alias("id")).where("n > 1").groupBy(F.col("__k").alias("k")).agg(F.min("id").alias("id"), F.sum("n").alias("n"))
     copied = written(copied, "copies")
+    copies = heavy(copied, "k")
     kind = dict(docs.dtypes)["doc_id"]
 
     def of_texts(wanted: DataFrame, step, schema: str) -> DataFrame:
         """step over the texts that wanted(k, wanted) names, one copy of each."""
-        wanted = written(wanted.groupBy("k").agg(F.collect_set("v").alias("wanted")).join(copied, "k", "left"), "wanted")
+        wanted = written(wanted.groupBy("k").agg(F.collect_set("v").alias("wanted")).join(copied.drop("n"), "k", "left"), "wanted")
         packed = source.select(F.col("__k").alias("k"), "doc_id", "text").mapInArrow(squeeze(["k", "doc_id"], Sieve(wanted)), f"k long, doc_id {kind}, z binary")
-        return packed.join(wanted, "k").where("id is null or doc_id = id").select("k", "z", "wanted").mapInArrow(step, schema)
-
-    cut = written(of_texts(_onward(both).select("k", F.col("c").alias("v")), _cut(length, gram, part), "h long, b long, o long, k long"), "parts")
-    marked = cut.join(_repeated(cut, "h", "b"), ["h", "b"], "left").join(_repeated(cut, "h", "o").select("h", "o"), ["h", "o"], "left_semi")
-    marked = written(marked, "marked-parts")
-    hot = marked.where("lo is null").select("h", "o").distinct()
-    edges = marked.where("lo is null or k = lo").join(hot, ["h", "o"], "left_semi")
-    ones = written(of_texts(edges.select("k", F.col("b").alias("v")), _single(length, gram, part), "h long, w long, k long"), "suffixes")
-    ones = ones.join(_repeated(ones, "h", "w").select("h", "w"), ["h", "w"])
+        return dealt_join(packed, wanted, ["k"], "inner", copies).where("id is null or doc_id = id").select("k", "z", "wanted").mapInArrow(step, schema)
+
+    cut = written(of_texts(_onward(both, "h", many).select("k", F.col("c").alias("v")), _cut(length, gram, part), "h long, b long, o long, k long"), "parts")
+    again, cores = written(_repeated(cut, "h", "b"), "repeated-parts"), written(_repeated(cut, "h", "o"), "repeated-cores")
+    many_cores = heavy(cores, "h", "o")
+    marked = dealt_join(cut, again.drop("n"), ["h", "b"], "left", heavy(again, "h", "b"))
+    marked = written(dealt_join(marked, cores.select("h", "o"), ["h", "o"], "left_semi", many_cores), "marked-parts")
+    ones = written(of_texts(_onward(marked, ["h", "o"], many_cores).select("k", F.col("b").alias("v")), _single(length, gram, part), "h long, w long, k long"), "suffixes")
+    again = written(_repeated(ones, "h", "w"), "repeated-suffixes")
+    ones = dealt_join(ones, again.select("h", "w"), ["h", "w"], "left_semi", heavy(again, "h", "w"))
     marks = both.where("lo is not null").select("k", F.col("c").alias("v")).unionByName(marked.where("lo is not null").select("k", F.col("b").alias("v"))).unionByName(ones.select("k", F.col("w").alias("v")))
     marks = marks.groupBy("k").agg(F.collect_set("v").alias("found")).join(copied.select("k", F.lit(True).alias("copied")), "k", "full").withColumnRenamed("k", "__k")
     marks = written(marks, "marks")
     # texts without marks needn't move
     sieve = Sieve(marks.select(F.col("__k").alias("k")))
-    packed = source.mapInArrow(squeeze(["__k", *columns], sieve), f"`__k` long, {kinds}, z binary").join(marks, "__k", "left")
-    out = ", ".join([kinds, "n_bytes long, n_removed long, n_spans long", "text string" if text else "kept_sha256 string"])
-    return packed.mapInArrow(_finish(length, gram, part, columns, text), out).unionByName(source.mapInArrow(_finish(length, gram, part, columns, text, sieve), out))
+    packed = source.mapInArrow(squeeze(["__k", "row"], sieve), fields(source, "__k", "row").add("z", "binary"))
+    packed = dealt_join(packed, marks, ["__k"], "left", None if copies is None else copies.withColumnRenamed("k", "__k"))
+    kept = "text" if text else "kept_sha256"
+    out = fields(source, "row").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add(kept, "string")
+    done = packed.mapInArrow(_finish(length, gram, part, text), out).unionByName(source.mapInArrow(_finish(length, gram, part, text, sieve), out))
+    if not text:
+        return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return done.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
