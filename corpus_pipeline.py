@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the last return the columns of
 documents. SQL can't express the stages, so there is no ORACLE_SQL; tests compare the stages with brute force.
+
+In every stage null text counts as empty, an empty table gives an empty one, and further columns pass through under whatever names they have. doc_id
+may be null, repeated, or of any type that has an order: rows are judged by their text, so repeated rows fare alike, but for near-duplicates, of which one row stays.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm import decontaminate, minhash, pieces, quality, suffix
-from chronoloom.llm.common import written
+from chronoloom.llm.common import SCRATCH, forget, fresh, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +22,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts linked by 80 per cent of their five-word shingles: that of smallest doc_id."""
-    copies = minhash.near_duplicates(docs, size=5).where("not kept").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of texts linked by 80 per cent of their five-word shingles: that of smallest doc_id, rows without one last.
+
+    Rows that repeat each other are such a group. Empty texts are linked with nothing, so they all stay.
+    """
+    key = fresh(docs, "row_number")
+    # numbers are given once and written, so that they stay the same whoever computes what comes after
+    docs_ = written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    found = minhash.near_duplicates(docs_.select(F.col(key).alias("doc_id"), "text"), size=5).select(F.col("doc_id").alias("number"), "component_id")
+    ids = docs_.select(F.col(key).alias("number"), F.col("doc_id").isNull().alias("none"), "doc_id")
+    first = found.join(ids, "number").groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "number")).alias("first"))
+    return docs_.join(first.select(F.col("first.number").alias(key)), key, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +40,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = suffix.repeats(docs, text=True)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return cut.select(*docs.columns)
+    return cut.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows that the last stage returns. What stages wrote on the way is removed when all are done."""
+    docs, mine = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(SCRATCH)
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    last = SCRATCH.pop()
+    forget(spark, mine)
+    SCRATCH.append(last)
     return docs
