@@ -1,11 +1,11 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's grams are its runs of K characters, every one of them, so nothing depends on words or on where something is put in. A gram's rolling hash is
-its value as a polynomial of its characters; those of all places come from those of half as long grams, as SQL has no running
-state: K characters take log2(K) steps. From every window of W grams the smallest hash is chosen, the rightmost among equals, and its
-position is kept: two texts that share K + W - 1 characters in a row share a chosen gram. Rolling hashes only choose; a fingerprint holds
-64 bits of a digest of each chosen gram. A text of fewer characters than K has one gram of all of them, an empty text none. Long texts are
-worked off in chunks of CHUNK characters that overlap, so memory is bounded and the result is the same.
+A text's tokens are its words, what stands between white space; of a run of more than WORD characters without any, as in scripts without
+spaces, each character is a token. So tokens depend on what is around them and not on places, and a character put in changes those next to it only. A gram's
+rolling hash is the value of a polynomial of its K tokens; those of all places come from those of half as long grams, as SQL has no running
+state: K tokens take log2(K) steps. From every window of W grams the smallest hash is chosen, the rightmost among equals, and its
+position is kept: two texts that share K + W - 1 tokens in a row share a chosen gram. Rolling hashes only choose; a fingerprint holds
+64 bits of a digest of each chosen gram. A text of fewer tokens than K has one gram of all of them, a text without tokens none. All steps are linear in a text's length.
 
 Null text counts as empty. Two empty fingerprints are alike by 1, an empty and another one by 0. Rows without doc_id come last; rows
 of equal doc_id follow each other by hash of text. A table of one row follows itself. Extra columns are ignored.
@@ -19,13 +19,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, W = 16, 32
-CHUNK = 4096
-#: Hexadecimal digits of a digest.
-DIGITS = 16
+K, W = 8, 8
+#: Characters of a run that is one token.
+WORD = 16
+#: Hexadecimal digits of a digest, and of that of a token.
+DIGITS, SHORT = 16, 7
 PRIME, BASE = (1 << 31) - 1, 1_000_003
-#: Places in a chunk, counted backwards in the lowest bits so that the rightmost of equal hashes is the smallest.
-PLACES = 2 * CHUNK
+#: Places in a text, counted backwards in the lowest bits so that the rightmost of equal hashes is the smallest.
+PLACES = 1 << 32
 #: Documents of one block of neighbours, as long as BLOCKS do.
 ROWS, BLOCKS = 1000, 4096
 
@@ -45,13 +46,19 @@ def _with_later(step: int, f):
     return lambda a: F.transform(a, lambda x, i: f(x, F.get(a, i + step), i))
 
 
-def _picks(text: Column, first: Column) -> Column:
-    """array<struct<h, p>> of a chunk and what follows it: p counts from the chunk's begin. first: whether nothing stands before."""
+def tokens(text: Column) -> Column:
+    """array<string>"""
+    runs = F.regexp_extract_all(text, F.lit(r"([^\x09-\x0D\x20]+)"), F.lit(1))
+    return _bind(runs, lambda r: F.when(F.exists(r, lambda x: F.length(x) > WORD), F.flatten(F.transform(r, lambda x: F.when(F.length(x) > WORD, F.split(x, "")).otherwise(F.array(x))))).otherwise(r))
+
+
+def chosen(text: Column) -> Column:
+    """array<struct<h string, p long>>: digests of the chosen grams and their positions, in tokens."""
     digest = lambda x: F.substring(F.md5(x), 1, DIGITS)
 
-    def of(chars: Column) -> Column:
-        n = F.size(chars)
-        codes = F.transform(chars, lambda c: F.ascii(c).cast("long"))
+    def of(t: Column) -> Column:
+        n = F.size(t)
+        codes = F.transform(t, lambda x: F.conv(F.substring(F.md5(x), 1, SHORT), 16, 10).cast("long"))
         rolled = lambda s: _with_later(s, lambda x, y, i: (x * pow(BASE, s, PRIME) + y) % PRIME)
         placed = lambda s: _with_later(s, lambda x, y, i: (x * pow(BASE, s, PRIME) + y) % PRIME * PLACES + (PLACES - 1 - i))
         grams = _bind(reduce(lambda a, s: _bind(a, rolled(s)), _steps(K)[:-1], codes), placed(K // 2))
@@ -60,23 +67,11 @@ def _picks(text: Column, first: Column) -> Column:
         some = _bind(grams, lambda g: F.when(n >= K + W - 1, least(g)).otherwise(F.array(F.array_min(g))))
         # a place that is no longer chosen isn't chosen again
         places = F.transform(F.array_distinct(some), lambda x: PLACES - 1 - x % PLACES)
-        picks = F.transform(places, lambda p: F.struct(digest(F.concat(*(F.get(chars, p.cast("int") + k) for k in range(K)))).alias("h"), p.alias("p")))
-        one = F.array(F.struct(digest(text).alias("h"), F.lit(0).cast("long").alias("p")))
-        return F.when((n >= K + W - 1) | (first & (n >= K)), picks).when(first & (n > 0), one).otherwise(F.filter(one, lambda x: F.lit(False)))
-
-    return _bind(F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "")), of)
-
-
-def chosen(text: Column) -> Column:
-    """array<struct<h string, p long>>: digests of the chosen grams and their positions."""
-    chunks = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{CHUNK}}})"), F.lit(1))
-
-    def each(c: Column) -> Column:
-        part = lambda x, j: F.transform(_picks(F.concat(x, F.left(F.coalesce(F.get(c, j + 1), F.lit("")), F.lit(K + W - 2))), j == 0), lambda y: F.struct(y["h"].alias("h"), (y["p"] + j * CHUNK).alias("p")))
-        return F.flatten(F.transform(c, part))
+        picks = F.transform(places, lambda p: F.struct(digest(F.concat_ws(" ", *(F.get(t, p.cast("int") + k) for k in range(K)))).alias("h"), p.alias("p")))
+        one = F.array(F.struct(digest(F.array_join(t, " ")).alias("h"), F.lit(0).cast("long").alias("p")))
+        return F.when(n >= K, picks).when(n > 0, one).otherwise(F.filter(one, lambda x: F.lit(False)))
 
-    # the last choice of a chunk may be the first of the next
-    return _bind(_bind(chunks, each), lambda m: F.filter(m, lambda x, i: (i == 0) | (F.get(m, i - 1)["p"] != x["p"])))
+    return _bind(tokens(text), of)
 
 
 def _joined(text: Column) -> Column:
@@ -145,16 +140,20 @@ def sql() -> str:
     """The same result as edited(), in DuckDB SQL, without chunks."""
     each = lambda a, f: f"list_transform({a}, lambda x: {f})"
     pairs = lambda s, f: f"[{f} for i in range(1, len(a) - {s} + 1)]"
-    steps = ["c0 as (select doc_id, kind, s, " + each("string_split(s, '')", "unicode(x)::bigint") + " as a from s where s <> '')"]
+    runs = "regexp_extract_all(s, '[^\\x09-\\x0D\\x20]+')"
+    steps = [
+        f"t as (select doc_id, kind, flatten({each(runs, f'case when length(x) > {WORD} then string_split(x, {chr(39) * 2}) else [x] end')}) as t from s)",
+        f"c0 as (select doc_id, kind, t, {each('t', f'({chr(39)}0x{chr(39)} || left(md5(x), {SHORT}))::bigint')} as a from t where len(t) > 0)",
+    ]
     for k, s in enumerate(_steps(K)):
-        steps.append(f"c{k + 1} as (select doc_id, kind, s, " + pairs(s, f"(a[i] * {pow(BASE, s, PRIME)} + a[i + {s}]) % {PRIME}") + f" as a from c{k})")
-    n = len(_steps(K))
-    big = 1 << 31
-    steps.append(f"m0 as (select doc_id, kind, s, [a[i] * {big} + ({big} - i) for i in range(1, len(a) + 1)] as a from c{n} where length(s) >= {K + W - 1})")
+        steps.append(f"c{k + 1} as (select doc_id, kind, t, " + pairs(s, f"(a[i] * {pow(BASE, s, PRIME)} + a[i + {s}]) % {PRIME}") + f" as a from c{k})")
+    n, big = len(_steps(K)), 1 << 31
+    placed = f"[a[i] * {big} + ({big} - i) for i in range(1, len(a) + 1)]"
+    steps.append(f"m0 as (select doc_id, kind, t, {placed} as a from c{n} where len(t) >= {K + W - 1})")
     for k, s in enumerate(_steps(W)):
-        steps.append(f"m{k + 1} as (select doc_id, kind, s, " + pairs(s, f"least(a[i], a[i + {s}])") + f" as a from m{k})")
-    short = f"short as (select doc_id, kind, s, case when length(s) < {K} then [{big} - 1] else [list_min([a[i] * {big} + ({big} - i) for i in range(1, len(a) + 1)])] end as a from c{n} where length(s) < {K + W - 1})"
-    digest = f"left(md5(substring(s, ({big} - x % {big})::bigint, {K})), {DIGITS})"
+        steps.append(f"m{k + 1} as (select doc_id, kind, t, " + pairs(s, f"least(a[i], a[i + {s}])") + f" as a from m{k})")
+    short = f"short as (select doc_id, kind, t, case when len(t) < {K} then [{big} - 1] else [list_min({placed})] end as a from c{n} where len(t) < {K + W - 1})"
+    digest = f"left(md5(array_to_string(t[{big} - x % {big}:{big} - x % {big} + {K - 1}], ' ')), {DIGITS})"
     return f"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 n as (select doc_id, text, coalesce(lead(text) over (order by doc_id), first_value(text) over (order by doc_id)) as following from d),
@@ -162,7 +161,7 @@ e as (select *, left(text, (length(text) - length(text) // 4)::int) || left(foll
 s as (select doc_id, kind, s from e, lateral (values ('text', text), ('edit', edit), ('following', following)) v(kind, s)),
 {', '.join(steps)}, {short},
 p as (select * from m{len(_steps(W))} union all select * from short),
-o as (select doc_id, kind, s, list_filter(a, lambda x, i: i = 1 or a[i - 1] <> x) as a from p),
+o as (select doc_id, kind, t, list_filter(a, lambda x, i: i = 1 or a[i - 1] <> x) as a from p),
 f as (select doc_id, kind, {each('a', digest)} as f from o),
 q as (select e.doc_id, coalesce(max(f) filter (kind = 'text'), []) as a, coalesce(max(f) filter (kind = 'edit'), []) as b, coalesce(max(f) filter (kind = 'following'), []) as c from e left join f using (doc_id) group by all)
 select e.doc_id, length(e.text)::bigint as n_chars, sha256(e.edit) as edited_sha256, array_to_string(a, ' ') as fingerprint, array_to_string(b, ' ') as edited_fingerprint,

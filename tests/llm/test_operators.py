@@ -204,15 +204,16 @@ def test_repeats_edges(spark):
 
 
 def brute_winnow(text):
-    t, k, w = text or "", winnow.K, winnow.W
-    digest = lambda x: hashlib.md5(x.encode()).hexdigest()[:16]
+    k, w = winnow.K, winnow.W
+    t = [x for run in re.findall(r"[^\x09-\x0d\x20]+", text or "") for x in (run if len(run) > 16 else [run])]
+    digest = lambda x, n=16: hashlib.md5(" ".join(x).encode()).hexdigest()[:n]
     if len(t) < k:
         return ([digest(t)], [0]) if t else ([], [])
     rolled = []
     for i in range(len(t) - k + 1):
         h = 0
-        for c in t[i : i + k]:
-            h = (h * winnow.BASE + ord(c)) % winnow.PRIME
+        for x in t[i : i + k]:
+            h = (h * winnow.BASE + int(digest([x], 7), 16)) % winnow.PRIME
         rolled.append(h)
     places = []
     for i in range(max(1, len(rolled) - w + 1)):
@@ -239,13 +240,15 @@ def test_winnow(spark):
 
 def test_winnow_edges(spark):
     assert winnow.edited(edge(spark)).count() == 10
-    # any run of K + W - 1 characters that two texts share is met, wherever it stands and whatever is around it
+    # any run of K + W - 1 tokens that two texts share is met, wherever it stands and whatever is around it; so it is in texts without spaces
     r = random.Random(3)
     noise = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
-    runs = [noise(winnow.K + winnow.W - 1) for _ in range(20)]
-    pairs = docs(spark, [noise(r.randrange(200)) + x + noise(r.randrange(5000)) for x in runs for _ in range(2)], 0)
-    marks = {x["doc_id"]: set(x["fingerprint"]) for x in winnow.fingerprints(pairs).collect()}
-    assert all(marks[2 * i] & marks[2 * i + 1] for i in range(20))
+    n = winnow.K + winnow.W - 1
+    runs = [noise(n) for _ in range(20)]
+    texts = [noise(17 + r.randrange(200)) + x + noise(17 + r.randrange(5000)) for x in runs for _ in range(2)]
+    texts += [f"{prose(100 + 2 * i + j, r.randrange(200))} {prose(i, n)} {prose(200 + 2 * i + j, r.randrange(200))}" for i in range(20) for j in range(2)]
+    marks = {x["doc_id"]: set(x["fingerprint"]) for x in winnow.fingerprints(docs(spark, texts, 0)).collect()}
+    assert all(marks[2 * i] & marks[2 * i + 1] for i in range(40))
     assert winnow.edited(empty(spark)).count() == 0
     one = winnow.edited(docs(spark, ["only one here"])).first()
     assert one["near_next"] == 1.0
