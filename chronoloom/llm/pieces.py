@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +35,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Parts whose paths a worker remembers.
-KEPT = 250_000
+KEPT = 400_000
 #: Pairs of pieces whose fit it remembers.
 FOLLOWS = 400_000
 
@@ -73,13 +74,13 @@ def _fields(raw: bytes):
 class Leaf:
     """The arc that ends a piece."""
 
-    __slots__ = ("piece", "ids", "weight", "whole", "after")
+    __slots__ = ("piece", "ids", "weight", "after", "get")
 
     def __init__(self, piece: str, ids: tuple[int, ...], weight: float):
         self.piece, self.ids, self.weight = piece, ids, weight
-        #: whether merging ever gives the piece, and after which pieces it may stand; as far as they were needed
-        self.whole: bool | None = None
+        #: after which pieces it may stand, as far as that was needed
         self.after: dict[str | None, bool] = {}
+        self.get = self.after.get
 
 
 class Transducer:
@@ -115,7 +116,8 @@ class Transducer:
             node[""] = Leaf(p, (i,), -self.pieces[i][1])
         #: pairs of pieces that leaves remember
         self.held = 0
-        self.kept: dict[str, tuple[int, ...]] = {}
+        #: ids of parts, as bytes
+        self.kept: dict[str, bytes] = {}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has the mark after another character")
         # the normaliser's arcs: a space reads as the mark
@@ -146,7 +148,11 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _may_follow(self, last: str | None, leaf: Leaf) -> bool:
+    def _may_follow(self, last: str | None, leaf: Leaf, node: dict) -> bool:
+        if not leaf.after and self.kind == BPE and len(leaf.piece) > 1 and self._merged(leaf.piece) != [leaf.piece]:
+            # merging never gives the piece
+            node.pop("", None)
+            return False
         ok = last is None or self.kind == UNIGRAM or self._merged(last + leaf.piece) == [last, leaf.piece]
         if self.held < FOLLOWS:
             self.held += 1
@@ -156,9 +162,9 @@ class Transducer:
     def path(self, part: str) -> tuple[int, ...]:
         """Ids on the shortest path of the machine composed with one part of a text."""
         n, trie = len(part), self.trie
-        # states: place and last piece; value: weight, ids of the arc, place and piece before
-        states: list[dict[str | None, tuple] | None] = [None] * (n + 1)
-        states[0] = {None: (0.0, (), -1, None)}
+        # states of each place: last piece, weight, ids of the arc, state before; a piece that ends at a place has one beginning
+        states: list[list[tuple] | None] = [None] * (n + 1)
+        states[0] = [(None, 0.0, (), None)]
         for at in range(n):
             here = states[at]
             if here is None:
@@ -167,49 +173,46 @@ class Transducer:
             if node is None:
                 # no piece follows or precedes such a character otherwise than it does
                 c = MARK if part[at] == " " else part[at]
-                last, value = min(here.items(), key=lambda x: x[1][0])
-                states[k] = {None: (value[0], tuple(self.bytes[b] for b in c.encode()) if self.bytes else (self.unknown,), at, last)}
+                best = min(here, key=lambda x: x[1])
+                states[k] = [(None, best[1], tuple(self.bytes[b] for b in c.encode()) if self.bytes else (self.unknown,), best)]
                 continue
             while node is not None:
-                leaf = node.get("")
-                if leaf is not None:
-                    if leaf.whole is None:
-                        # whether merging ever gives the piece
-                        leaf.whole = self.kind == UNIGRAM or len(leaf.piece) == 1 or self._merged(leaf.piece) == [leaf.piece]
-                    if leaf.whole:
-                        after, piece, there = leaf.after, leaf.piece, states[k]
-                        for last, value in here.items():
-                            ok = after.get(last)
-                            if ok or ok is None and self._may_follow(last, leaf):
-                                weight = value[0] + leaf.weight
-                                if there is None:
-                                    there = states[k] = {piece: (weight, leaf.ids, at, last)}
-                                elif (best := there.get(piece)) is None or weight < best[0]:
-                                    there[piece] = (weight, leaf.ids, at, last)
+                if "" in node:
+                    leaf = node[""]
+                    get, best = leaf.get, None
+                    for state in here:
+                        ok = get(state[0])
+                        if (ok or ok is None and self._may_follow(state[0], leaf, node)) and (best is None or state[1] < best[1]):
+                            best = state
+                    if best is not None:
+                        state = (leaf.piece, best[1] + leaf.weight, leaf.ids, best)
+                        if states[k] is None:
+                            states[k] = [state]
+                        else:
+                            states[k].append(state)
                 if k == n:
                     break
                 node, k = node.get(part[k]), k + 1
-        out: list[tuple[int, ...]] = []
-        at, last = n, min(states[n].items(), key=lambda x: x[1][0])[0]
-        while at > 0:
-            _, ids, before, previous = states[at][last]
-            out.append(ids)
-            at, last = before, previous
+        out, state = [], min(states[n], key=lambda x: x[1])
+        while state is not None:
+            out.append(state[2])
+            state = state[3]
         return tuple(i for ids in reversed(out) for i in ids)
 
-    def encode(self, text: str | None) -> list[int]:
+    def _read(self, part: str) -> bytes:
+        raw = array("i", self.path(part)).tobytes()
+        if len(self.kept) < KEPT:
+            self.kept[part] = raw
+        return raw
+
+    def ids_of(self, text: str | None) -> np.ndarray:
         if not text:
-            return []
-        out: list[int] = []
-        kept = self.kept
-        for part in self.split(self.prefix + text):
-            ids = kept.get(part)
-            if ids is None:
-                ids = self.path(part)
-                if len(kept) < KEPT:
-                    kept[part] = ids
-            out += ids
-        return out
+            return np.zeros(0, np.int32)
+        get, read = self.kept.get, self._read
+        return np.frombuffer(b"".join([get(part) or read(part) for part in self.split(self.prefix + text)]), np.int32)
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.ids_of(text).tolist()
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.written.__getitem__, ids))
@@ -242,8 +245,8 @@ def _encode(model: bytes):
                 part = batch.slice(i, 128)
                 ids, digests, same = [], [], []
                 for text in part.column("text").to_pylist():
-                    ids.append(np.array(machine.encode(text), np.int32))
-                    back = machine.decode(ids[-1])
+                    ids.append(machine.ids_of(text))
+                    back = machine.decode(ids[-1].tolist())
                     digests.append(hashlib.sha256(back.encode()).hexdigest())
                     same.append(back == (text or ""))
                 counts = [len(x) for x in ids]
