@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Text that one vectorised step handles at once; bounds the memory of a Python worker.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 # memory that a step has freed goes back to the system, as workers live on with the next steps
 pa.set_memory_pool(pa.system_memory_pool())
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -86,6 +86,17 @@ def fields(df: DataFrame, *columns: str) -> StructType:
     return StructType([df.schema[c] for c in columns])
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """df as (row, text): row has all columns but text, which unpacked() takes apart again, so their names can't clash with others."""
+    others = [F.col(f"`{c}`") for c in df.columns if c != "text"]
+    return df.select(F.struct(*others).alias("row"), "text")
+
+
+def unpacked(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """The columns of what was packed(), and some more of df."""
+    return df.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns), *more)
+
+
 def heavy(groups: DataFrame, *keys: str) -> DataFrame | None:
     """The keys of groups(keys, n) whose n rows are too many for one task: over HEAVY and over a HEAVIEST-th of all. There are HEAVIEST of them at most, so they may be broadcast; None if there are none."""
     total = groups.agg(F.sum("n")).first()[0] or 0

@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from chronoloom.llm.common import fields, lean, lists
+from chronoloom.llm.common import fields, lean, lists, packed, unpacked
 
 MARK = "▁"
 #: Kinds of pieces in the model format.
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Parts whose paths a worker remembers.
-KEPT = 400_000
+KEPT = 250_000
 #: Pairs of pieces whose fit it remembers.
 FOLLOWS = 400_000
 
@@ -237,7 +237,7 @@ def machine_of(model: bytes) -> Transducer:
     return Transducer(model)
 
 
-def _encode(model: bytes):
+def _encode(model: bytes, columns: list[str]):
     def run(batches):
         machine = machine_of(model)
         for batch in batches:
@@ -251,8 +251,8 @@ def _encode(model: bytes):
                     same.append(back == (text or ""))
                 counts = [len(x) for x in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), lists(np.concatenate([*ids, np.zeros(0, np.int32)]), counts), pa.array(counts, pa.int64()), pa.array(digests), pa.array(same)],
-                    ["row", "ids", "n_ids", "decoded_sha256", "round_trip"],
+                    [*(part.column(c) for c in columns), lists(np.concatenate([*ids, np.zeros(0, np.int32)]), counts), pa.array(counts, pa.int64()), pa.array(digests), pa.array(same)],
+                    [*columns, "ids", "n_ids", "decoded_sha256", "round_trip"],
                 )
 
     return run
@@ -265,12 +265,12 @@ def encoded(docs: DataFrame, columns: list[str] | None = None, model: str | None
     """
     made = {"ids": ArrayType(IntegerType()), "n_ids": "long", "decoded_sha256": "string", "round_trip": "boolean"}
     columns = [c for c in docs.columns if c in (["doc_id"] if columns is None else columns) and c.lower() not in made]
-    # they go along as one, so their names can't clash
-    source = lean(docs).select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "text")
-    schema = fields(source, "row")
+    source = packed(lean(docs).select(*(F.col(f"`{c}`") for c in columns), *([] if "text" in columns else ["text"])))
+    kept = ["row", "text"] if "text" in columns else ["row"]
+    schema = fields(source, *kept)
     for name, kind in made.items():
         schema = schema.add(name, kind)
-    return source.mapInArrow(_encode(read_model(model)), schema).select("row.*", *made)
+    return source.mapInArrow(_encode(read_model(model), kept), schema).transform(unpacked, columns, *made)
 
 
 def _decode(model: bytes):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import LOWER, U64, fields, lean, lists, mix, prefix_hash, span_hash, texts, words
+from chronoloom.llm.common import LOWER, U64, fields, lean, lists, mix, packed, prefix_hash, span_hash, texts, unpacked, words
 
 WIDTH = 1 << 16
 SAMPLE = 8000
@@ -129,10 +129,9 @@ def scored(docs: DataFrame, ratings: DataFrame, columns: list[str] | None = None
 def selected(docs: DataFrame, ratings: DataFrame, least: float = 0.5, grade: int = 1, sample: int = SAMPLE) -> DataFrame:
     """Rows of docs, all columns, whose probability of the grade or better is at least least."""
     weights, cuts = train(docs, ratings, sample)
-    # all columns go along as one, so their names can't clash with those of the scores
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
-    schema = fields(packed, "row").add("grade", "double")
+    source = packed(lean(docs))
+    schema = fields(source, "row", "text").add("grade", "double")
     for k in range(GRADES - 1):
         schema = schema.add(f"p{k + 1}", "double")
-    out = lean(packed).mapInArrow(_score(weights, cuts, ["row"]), schema)
-    return out.where(F.col(f"p{grade}") >= least).select("row.*")
+    out = source.mapInArrow(_score(weights, cuts, ["row", "text"]), schema)
+    return unpacked(out.where(F.col(f"p{grade}") >= least), docs.columns)
