@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 CHUNK_BYTES = 1 << 18
 # memory that a step has freed goes back to the system, as workers live on with the next steps
 pa.set_memory_pool(pa.system_memory_pool())
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 300, 2 << 20
 #: Rows of one key that a task may get, and keys of more at most.
 HEAVY, HEAVIEST = 1000, 5000
 #: Paths that written() made.
