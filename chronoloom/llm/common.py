@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,8 @@ BATCH_ROWS, BATCH_BYTES = 300, 2 << 20
 HEAVY, HEAVIEST = 1000, 5000
 #: Paths that written() made.
 SCRATCH: list[str] = []
+#: What a Python worker remembers from task to task: the module that it serves, and what frees it.
+REMEMBERED: list[tuple[str, Callable[[], None]]] = []
 U64 = np.uint64
 _BASE, _SEED = 0x9E3779B97F4A7C15 | 1, 20240229
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(_SEED)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -47,6 +52,40 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
+def turn_to(module: str) -> None:
+    """Frees what a worker remembers for other modules than this one."""
+    for owner, free in REMEMBERED:
+        if owner != module:
+            free()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system where the C library can; workers live on and share an executor's memory with the JVM."""
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def step(make: Callable) -> Callable:
+    """For functions that make what mapInArrow() runs: a task first frees what other modules' tasks left in its worker, and gives memory back at its end."""
+    module = make.__module__
+
+    @wraps(make)
+    def made(*args, **kwargs):
+        run = make(*args, **kwargs)
+
+        def task(batches):
+            turn_to(module)
+            try:
+                yield from run(batches)
+            finally:
+                give_back()
+
+        return task
+
+    return made
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; where the session names none and runs on this machine alone, a temporary one of our own."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import HEAVY, LOWER, U64, dealt_join, fresh, heavy, lean, prefix_hash, signed, span_hash, texts, written
+from chronoloom.llm.common import HEAVY, LOWER, U64, dealt_join, fresh, heavy, lean, prefix_hash, signed, span_hash, step, texts, written
 
 #: Parts of items in a block, which has a basis of its own with as many directions.
 RANK = 256
@@ -76,6 +76,7 @@ def _n_parts(batches):
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
 
+@step
 def _counted(vocabulary: np.ndarray):
     def run(batches):
         total, n = np.zeros(len(vocabulary), np.int64), 0
@@ -105,6 +106,7 @@ def _rows(words: np.ndarray, first: np.ndarray, vocabulary: np.ndarray, idf: np.
     return row, col, value / np.maximum(norm[row], 1e-12)
 
 
+@step
 def _sketch(vocabulary: np.ndarray, idf: np.ndarray, test: np.ndarray):
     """This task's part of A'(A test), by column of A and column of test."""
 
@@ -177,6 +179,7 @@ def _projected(own: np.ndarray, idf: np.ndarray, latent: np.ndarray, block: list
     return places, rows, matrix
 
 
+@step
 def _search(vocabulary: np.ndarray, idf: np.ndarray, rare: float, blocks: list[tuple], ids: list[list], id_kind: pa.DataType, items: list[list[int]], cosine: float):
     """blocks: for the parts of each the indexes of their items, and what _projected() gives."""
     weight = np.append(idf**2, rare**2)

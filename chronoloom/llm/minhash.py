@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from chronoloom.llm.common import LOWER, U64, components, dealt_join, heavy, lean, lists, mix, prefix_hash, signed, span_hash, texts, words, written
+from chronoloom.llm.common import LOWER, U64, components, dealt_join, heavy, lean, lists, mix, prefix_hash, signed, span_hash, step, texts, words, written
 from chronoloom.llm.suffix import Sieve, squeeze
 
 BANDS, ROWS = 42, 6
@@ -75,6 +75,7 @@ def signature(values: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+@step
 def _sign(size: int, bands: int, rows: int):
     salt = mix(np.arange(1, bands + 1, dtype=U64))
 
@@ -102,6 +103,7 @@ def _sign(size: int, bands: int, rows: int):
     return run
 
 
+@step
 def _sets(size: int):
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
@@ -114,6 +116,7 @@ def _sets(size: int):
     return run
 
 
+@step
 def _confirm(percent: int):
     def run(batches):
         for batch in batches:

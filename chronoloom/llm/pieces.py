@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from chronoloom.llm.common import fields, lean, lists, packed, unpacked
+from chronoloom.llm.common import REMEMBERED, fields, lean, lists, packed, step, unpacked
 
 MARK = "▁"
 #: Kinds of pieces in the model format.
@@ -237,6 +237,10 @@ def machine_of(model: bytes) -> Transducer:
     return Transducer(model)
 
 
+REMEMBERED.append((__name__, machine_of.cache_clear))
+
+
+@step
 def _encode(model: bytes, columns: list[str]):
     def run(batches):
         machine = machine_of(model)
@@ -273,6 +277,7 @@ def encoded(docs: DataFrame, columns: list[str] | None = None, model: str | None
     return source.mapInArrow(_encode(read_model(model), kept), schema).transform(unpacked, columns, *made)
 
 
+@step
 def _decode(model: bytes):
     def run(batches):
         machine = machine_of(model)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import LOWER, U64, fields, lean, lists, mix, packed, prefix_hash, span_hash, texts, unpacked, words
+from chronoloom.llm.common import LOWER, U64, fields, lean, lists, mix, packed, prefix_hash, span_hash, step, texts, unpacked, words
 
 WIDTH = 1 << 16
 SAMPLE = 8000
@@ -95,6 +95,7 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> tuple[np
     return fit(grade, w.flatten().to_numpy(), counts, got["shape"].combine_chunks().flatten().to_numpy().reshape(len(grade), -1))
 
 
+@step
 def _score(weights: np.ndarray, cuts: np.ndarray, columns: list[str]):
     def run(batches):
         for batch in batches:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import U64, dealt_join, fields, heavy, lean, lists, mix, prefix_hash, signed, span_hash, texts, written
+from chronoloom.llm.common import U64, dealt_join, fields, heavy, lean, lists, mix, prefix_hash, signed, span_hash, step, texts, written
 
 LENGTH, GRAM, PART = 200, 64, 16
 SIEVE = 22
@@ -88,6 +88,7 @@ class Runs:
         return *out, span_hash(self.prefix, full + size - 1, full + self.length)
 
 
+@step
 def _scan(length: int, gram: int):
     def run(batches):
         for batch in batches:
@@ -114,6 +115,7 @@ class Sieve:
         return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+@step
 def squeeze(columns: list[str], sieve: Sieve | None = None):
     """Passes columns on and packs text as z; with a sieve, of rows only whose key is inside. The key is the first column."""
 
@@ -156,6 +158,7 @@ def _in(sorted_marks: np.ndarray, tags: np.ndarray) -> np.ndarray:
     return sorted_marks[at] == tags
 
 
+@step
 def _cut(length: int, gram: int, size: int):
     """Parts of the runs in the list wanted."""
 
@@ -171,6 +174,7 @@ def _cut(length: int, gram: int, size: int):
     return run
 
 
+@step
 def _single(length: int, gram: int, size: int):
     """Suffixes of the parts in the list wanted."""
 
@@ -229,6 +233,7 @@ def removed(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray, whole: np.
     return out
 
 
+@step
 def _finish(length: int, gram: int, size: int, text: bool, sieve: Sieve | None = None):
     """What is left of texts; with a sieve, of rows as they come whose key __k is outside, so that nothing is marked in them."""
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import lean
+from chronoloom.llm.common import lean, step
 
 TOXIC, ORDINARY = 3000, 6000
 RATIO, SHARE, LEAST, SHORTEST = 8.0, 0.02, 5, 4
@@ -148,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: int
     return *pairs, calibrated(x, y, weight * len(y) / weight.sum())
 
 
+@step
 def _score(toxic: bytes, ordinary: bytes, b: np.ndarray):
     def run(batches):
         distance = Distance(toxic, ordinary)
