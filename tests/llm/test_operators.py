@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.llm import decontaminate, html, licenses, minhash, pieces, quality, suffix, toxicity, urls, winnow
+from chronoloom.llm import common, decontaminate, html, licenses, minhash, pieces, quality, suffix, toxicity, urls, winnow
 from chronoloom.llm.common import components, dealt_join, heavy
 
 SCHEMA = "doc_id long, text string, lang string, k long, z string, rule string, hub long, __k string"
@@ -682,3 +682,21 @@ def test_lcs():
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         assert decontaminate.lcs(a, b) == t[-1][-1]
+
+
+def test_step_frees_what_other_modules_left(monkeypatch):
+    freed = []
+    monkeypatch.setattr(common, "REMEMBERED", [("another", lambda: freed.append("another")), (__name__, lambda: freed.append("own"))])
+
+    @common.step
+    def add(n):
+        def run(batches):
+            for x in batches:
+                yield x + n
+
+        return run
+
+    assert list(add(1)([1, 2])) == [2, 3]
+    assert freed == ["another"]
+    monkeypatch.undo()
+    assert ("chronoloom.llm.pieces", pieces.machine_of.cache_clear) in common.REMEMBERED
