@@ -104,6 +104,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df, dealt evenly to other tasks. For what comes from a step and goes to another one: each step of a task has a Python worker of its own, and executors keep as many workers as their tasks ever had."""
+    return df.hint("rebalance")
+
+
 def forget(spark: SparkSession, since: int = 0) -> None:
     """Removes the tables that written() made, from the one numbered since on; what reads them can't be computed any more."""
     paths, SCRATCH[since:] = SCRATCH[since:], []

@@ -269,7 +269,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
             block = [p for _, p in cut[i : i + rank]]
             own = np.unique(np.concatenate(block))
             # the basis reads text, so the place of a word stands for it
-            named = spark.createDataFrame([(" ".join(map(str, p.tolist())),) for p in block], "text string")
+            # an Arrow table, as rows would go through Python workers of their own
+            named = spark.createDataFrame(pa.table({"text": pa.array([" ".join(map(str, p.tolist())) for p in block], pa.string())}))
             (_, _, data, offsets), = texts(pa.array([" ".join(map(str, own.tolist()))]))
             names = tokens(data, offsets)[0]
             order = np.argsort(names)

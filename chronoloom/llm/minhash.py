@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from chronoloom.llm.common import LOWER, U64, components, dealt_join, heavy, lean, lists, mix, prefix_hash, signed, span_hash, step, texts, words, written
+from chronoloom.llm.common import LOWER, U64, apart, components, dealt_join, heavy, lean, lists, mix, prefix_hash, signed, span_hash, step, texts, words, written
 from chronoloom.llm.suffix import Sieve, squeeze
 
 BANDS, ROWS = 42, 6
@@ -183,7 +183,7 @@ def links(docs: DataFrame, signed_docs: DataFrame, size: int, percent: int) -> t
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     wanted = written(wanted, "wanted")
     # texts that are in no shared bucket needn't move
-    packed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(squeeze(["doc_id"], Sieve(wanted.select(F.col("doc_id").alias("k")))), "doc_id long, z binary")
+    packed = apart(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(squeeze(["doc_id"], Sieve(wanted.select(F.col("doc_id").alias("k")))), "doc_id long, z binary"))
     sets = written(packed.join(wanted, "doc_id").mapInArrow(_sets(size), "doc_id long, shingles binary").distinct(), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:

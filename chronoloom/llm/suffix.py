@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import U64, dealt_join, fields, heavy, lean, lists, mix, prefix_hash, signed, span_hash, step, texts, written
+from chronoloom.llm.common import U64, apart, dealt_join, fields, heavy, lean, lists, mix, prefix_hash, signed, span_hash, step, texts, written
 
 LENGTH, GRAM, PART = 200, 64, 16
 SIEVE = 22
@@ -306,7 +306,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int =
     def of_texts(wanted: DataFrame, step, schema: str) -> DataFrame:
         """step over the texts that wanted(k, wanted) names, one copy of each."""
         wanted = written(wanted.groupBy("k").agg(F.collect_set("v").alias("wanted")).join(copied.drop("n"), "k", "left"), "wanted")
-        packed = source.select(F.col("__k").alias("k"), "doc_id", "text").mapInArrow(squeeze(["k", "doc_id"], Sieve(wanted)), f"k long, doc_id {kind}, z binary")
+        packed = apart(source.select(F.col("__k").alias("k"), "doc_id", "text").mapInArrow(squeeze(["k", "doc_id"], Sieve(wanted)), f"k long, doc_id {kind}, z binary"))
         return dealt_join(packed, wanted, ["k"], "inner", copies).where("id is null or doc_id = id").select("k", "z", "wanted").mapInArrow(step, schema)
 
     cut = written(of_texts(_onward(both, "h", many).select("k", F.col("c").alias("v")), _cut(length, gram, part), "h long, b long, o long, k long"), "parts")
@@ -322,7 +322,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int =
     marks = written(marks, "marks")
     # texts without marks needn't move
     sieve = Sieve(marks.select(F.col("__k").alias("k")))
-    packed = source.mapInArrow(squeeze(["__k", "row"], sieve), fields(source, "__k", "row").add("z", "binary"))
+    packed = apart(source.mapInArrow(squeeze(["__k", "row"], sieve), fields(source, "__k", "row").add("z", "binary")))
     packed = dealt_join(packed, marks, ["__k"], "left", None if copies is None else copies.withColumnRenamed("k", "__k"))
     kept = "text" if text else "kept_sha256"
     out = fields(source, "row").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add(kept, "string")

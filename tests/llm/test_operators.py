@@ -700,3 +700,47 @@ def test_step_frees_what_other_modules_left(monkeypatch):
     assert freed == ["another"]
     monkeypatch.undo()
     assert ("chronoloom.llm.pieces", pieces.machine_of.cache_clear) in common.REMEMBERED
+
+
+def steps_of(df) -> list[bool]:
+    """For each step of Python in df's plan whether its tasks run another one before it, as far as files or apart() tell."""
+    above, out = [], []
+    for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n"):
+        depth = re.search(r"[A-Za-z]|$", line).start()
+        above = [x for x in above if x[0] < depth]
+        name = re.match(r"[A-Za-z]*", line[depth:])[0]
+        if name in ("MapInArrow", "FlatMapGroupsInArrow"):
+            out.append(next((x for _, x in reversed(above) if x != "other"), "") == "step")
+        above.append((depth, "step" if name in ("MapInArrow", "FlatMapGroupsInArrow") else "apart" if name == "RebalancePartitions" else "other"))
+    return out
+
+
+@pytest.mark.parametrize("what", ["repeats", "near duplicates"])
+def test_a_task_has_one_step(spark, monkeypatch, what):
+    """Two steps in one task need two Python workers, which executors keep."""
+    found = []
+
+    def seen(df, name):
+        found.append((name, steps_of(df)))
+        return common.written(df, name)
+
+    for module in (suffix, minhash):
+        monkeypatch.setattr(module, "written", seen)
+    shared = prose(77, 60)
+    texts = [good(i) for i in range(20)] + near_group(5, 150, 6, 0.04) + [f"{good(30 + i)} {shared}" for i in range(4)] + [good(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = suffix.repeats(docs) if what == "repeats" else minhash.near_duplicates(docs)
+    found.append(("result", steps_of(out)))
+    assert sum(len(x) for _, x in found) >= 4
+    assert not [name for name, x in found if any(x)]
+
+
+def test_basis_needs_no_python_rows(spark, monkeypatch):
+    """Rows of a list go through a Python worker before the step takes them; an Arrow table does not."""
+    made = []
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, _make=type(spark).createDataFrame, **k: made.append(type(data)) or _make(self, data, *a, **k))
+    docs = spark.createDataFrame([(0, good(1) + " " + prose(888, 25))], "doc_id long, text string")
+    items = spark.createDataFrame([(0, prose(888, 25))], "item_id long, text string")
+    made.clear()
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()] == [(0, 0)]
+    assert made and list not in made
