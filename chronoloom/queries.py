@@ -16,6 +16,7 @@ from chronoloom.functions import strptime as P
 from chronoloom.operators.registry import Registry
 from chronoloom.operators.zones import EARLIEST, LATEST, Zone, database, ntz_seconds, zoned
 from chronoloom.plans.rules import active, dated, historical
+from chronoloom.session import HUGE, METHOD_BYTES
 from chronoloom.sources import posix_tz
 from chronoloom.streaming.local_time import per_local_day
 
@@ -24,6 +25,8 @@ ORACLES: dict[str, str] = {}
 ZONES = ["America/New_York", "Europe/London", "Asia/Kolkata", "Australia/Lord_Howe", "America/Sao_Paulo", "Africa/Casablanca"]
 # Zones of customers by nation number modulo 5; the last two are links.
 NATION_ZONES = ["America/New_York", "Europe/Berlin", "Asia/Tokyo", "US/Pacific", "Asia/Calcutta"]
+#: Rows that a task formats or parses, about.
+TASK_ROWS = 100_000
 
 
 def query(sql: str | None = None):
@@ -44,9 +47,15 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files make fewer tasks than there are cores, for work on narrow rows that takes far longer than to move them."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df dealt evenly over all cores, and over more tasks where one would get over TASK_ROWS rows or so, for work on narrow rows that takes far longer than to move them.
+
+    Files may make as many tasks as there are cores and have all rows in a few of them, as a row group is never split; so rows are counted. Such work's generated
+    methods are long as well: the session gets the limit that session() sets, above which the JVM would only interpret them. Smaller limits stay.
+    """
+    spark = df.sparkSession
+    if int(spark.conf.get(HUGE, "65535")) > METHOD_BYTES:
+        spark.conf.set(HUGE, str(METHOD_BYTES))
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS)))
 
 
 O = "(select o_orderkey, o_custkey, epoch_us(o_orderdate) // 86400000000 as d, epoch_us(o_orderdate) // 1000000 + o_orderkey * 7919 % 86400 as t, o_orderdate::date as day from orders)"

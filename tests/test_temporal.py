@@ -465,6 +465,33 @@ def test_plan_has_no_shuffle_or_python(spark):
     assert "Exchange hashpartitioning" not in plan and "Python" not in plan and "Arrow" not in plan
 
 
+def test_long_work_is_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """A file of one row group makes many tasks, of which one has all rows; and tasks don't grow with the table."""
+    from chronoloom import queries
+
+    spark.range(2000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("o_orderdate")).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    small = {"spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "1", "spark.sql.codegen.hugeMethodLimit": "65535"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        rows = queries.orders(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+        largest = lambda: max(r["count"] for r in queries.spread(rows).groupBy(F.spark_partition_id()).count().collect())
+        assert largest() <= 2000 / spark.sparkContext.defaultParallelism + 20
+        monkeypatch.setattr(queries, "TASK_ROWS", 100, raising=False)
+        assert largest() <= 120
+        # longer methods would only be interpreted
+        queries.parse_times(spark, str(tmp_path))
+        assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "4000")
+        assert queries.parse_times(spark, str(tmp_path)).count() == 2000
+        assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 4000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_queries_match_their_sql(spark):
     """All temporal queries over the smallest tables, against DuckDB."""
     duckdb = pytest.importorskip("duckdb")
