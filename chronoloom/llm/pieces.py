@@ -20,6 +20,7 @@ import hashlib
 import re
 import struct
 from array import array
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -38,6 +39,8 @@ UNIGRAM, BPE = 1, 2
 KEPT = 250_000
 #: Pairs of pieces whose fit it remembers.
 FOLLOWS = 400_000
+#: Pieces of equal scores that parts are searched for.
+TIED = 16
 
 
 def _fields(raw: bytes):
@@ -114,6 +117,15 @@ class Transducer:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = Leaf(p, (i,), -self.pieces[i][1])
+        # merging gives one row of pieces, and only that one's neighbours all fit, where no two merges have one score and every character of a piece is one
+        merges = Counter(s for p, s in self.score.items() if len(p) > 1)
+        tied: list[str] = []
+        for p in sorted((p for p, s in self.score.items() if len(p) > 1 and merges[s] > 1), key=len):
+            if len(tied) <= TIED and not any(x in p for x in tied):
+                tied.append(p)
+        #: whether parts without tied pieces have one path; finds these pieces
+        self.single = self.kind == BPE and len(tied) <= TIED and all("" in self.trie.get(c, ()) for c in {c for p in self.score for c in p})
+        self.tied = re.compile("|".join(re.escape(p).replace(MARK, f"[ {MARK}]") for p in tied) or r"(?!)").search
         #: pairs of pieces that leaves remember
         self.held = 0
         #: ids of parts, as bytes
@@ -161,6 +173,46 @@ class Transducer:
 
     def path(self, part: str) -> tuple[int, ...]:
         """Ids on the shortest path of the machine composed with one part of a text."""
+        return self._only(part) if self.single and not self.tied(part) else self._shortest(part)
+
+    def _only(self, part: str) -> tuple[int, ...]:
+        """The same where the machine has one path for a text: depth first, long arcs first. A place is reached by one path only, so none is tried twice."""
+        n, trie, fits = len(part), self.trie, self._may_follow
+        seen = bytearray(n + 1)
+        # arcs to try: place after it, piece or None, ids, its node, the arc before
+        stack: list[tuple] = [(0, None, (), None, None)]
+        while stack:
+            arc = stack.pop()
+            at, leaf, _, node, before = arc
+            if seen[at]:
+                continue
+            if leaf is not None:
+                last = before[1] and before[1].piece
+                ok = leaf.get(last)
+                if not ok and (ok is not None or not fits(last, leaf, node)):
+                    continue
+            if at == n:
+                break
+            seen[at] = 1
+            node, k = trie.get(part[at]), at + 1
+            if node is None:
+                stack.append((k, None, tuple(self.bytes[b] for b in (MARK if part[at] == " " else part[at]).encode()) if self.bytes else (self.unknown,), None, arc))
+            while node is not None:
+                if "" in node and not seen[k]:
+                    leaf = node[""]
+                    stack.append((k, leaf, leaf.ids, node, arc))
+                if k == n:
+                    break
+                node, k = node.get(part[k]), k + 1
+        else:
+            return self._shortest(part)
+        out = []
+        while arc is not None:
+            out.append(arc[2])
+            arc = arc[4]
+        return tuple(i for ids in reversed(out) for i in ids)
+
+    def _shortest(self, part: str) -> tuple[int, ...]:
         n, trie = len(part), self.trie
         # states of each place: last piece, weight, ids of the arc, state before; a piece that ends at a place has one beginning
         states: list[list[tuple] | None] = [None] * (n + 1)

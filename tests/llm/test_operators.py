@@ -569,6 +569,17 @@ def test_pieces(spark):
     assert pieces.encoded(empty(spark)).count() == 0
 
 
+def test_one_path_is_the_shortest():
+    """Parts of a text that have one path get it depth first; the search of all paths agrees, and so it does for runs of spaces, whose pieces tie."""
+    r, m, all_ = random.Random(5), pieces.Transducer(pieces.read_model()), pieces.Transducer(pieces.read_model())
+    made = ["".join(r.choice("aabdeehilnorstuxß中文\U0001F600é\n\t.,01") for _ in range(r.randint(1, 14))) for _ in range(2000)] + ["a" * k for k in range(1, 60)]
+    assert m.single and not any(map(m.tied, made))
+    assert [m._only(x) for x in made] == [all_._shortest(x) for x in made]
+    assert m.held < all_.held
+    spaces = [" " * k + w for k in range(2, 40) for w in ("", "a", "hello\U0001F600")]
+    assert all(map(m.tied, spaces)) and [m.path(x) for x in spaces] == [all_._shortest(x) for x in spaces]
+
+
 def test_pieces_unigram():
     """A tiny unigram model: the shortest path by score."""
 
