@@ -18,8 +18,6 @@ match alike, repeated documents give repeated rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +33,8 @@ BLOCKS_LENGTH = 16
 WIDTHS = (1, 2, 4)
 #: Words of an item's part: as many as the widest passage has.
 PART = WIDTHS[-1] * BLOCKS_LENGTH
+#: Words of a unit, of which all passages consist, and units that are summed at once.
+UNIT, UNITS = BLOCKS_LENGTH // 2, 4096
 COSINE = 0.25
 COVER, PARTIAL, ANSWER, SHORT = 0.75, 0.5, 0.3, 8
 
@@ -144,24 +144,38 @@ def basis(items: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, rank: int =
     return q @ turn[:, keep]
 
 
-def lcs(item: list[int], window: list[int]) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows."""
+def masks(item: list[int]) -> dict[int, int]:
+    """For each word of an item the bits of its places."""
     places: dict[int, int] = {}
     for k, w in enumerate(item):
         places[w] = places.get(w, 0) | 1 << k
-    full = (1 << len(item)) - 1
-    v = full
-    for w in window:
-        if u := v & places.get(w, 0):
+    return places
+
+
+def _common(n: int, found: list[int]) -> int:
+    v = full = (1 << n) - 1
+    for at in found:
+        if u := v & at:
             v = (v + u | v - u) & full
-    return len(item) - v.bit_count()
+    return n - v.bit_count()
 
 
-def confirmed(item: list[int], window: list[int]) -> tuple[float, float] | None:
-    """(share of the item, share of its answer) found in order, where that counts as contamination."""
-    share = lcs(item, window) / len(item)
+def lcs(item: list[int], window: list[int]) -> int:
+    """Length of the longest common subsequence, by bit-parallel rows."""
+    places = masks(item)
+    return _common(len(item), [places[w] for w in window if w in places])
+
+
+def confirmed(item: list[int], window: list[int], places: dict[int, int] | None = None) -> tuple[float, float] | None:
+    """(share of the item, share of its answer) found in order, where that counts as contamination; places: masks(item), if they are known."""
+    places = masks(item) if places is None else places
+    found, least = [places[w] for w in window if w in places], 1.0 if len(item) < SHORT else PARTIAL
+    # no more words can be found in order than are found
+    if len(found) / len(item) < least:
+        return None
+    share = _common(len(item), found) / len(item)
     answer = item[-max(1, round(ANSWER * len(item))) :]
-    if share < (1.0 if len(item) < SHORT else PARTIAL):
+    if share < least:
         return None
     part = lcs(answer, window) / len(answer)
     return (share, part) if share >= COVER or part >= COVER else None
@@ -185,6 +199,9 @@ def _search(vocabulary: np.ndarray, idf: np.ndarray, rare: float, blocks: list[t
     weight = np.append(idf**2, rare**2)
 
     def run(batches):
+        # a passage's products with the parts are the sums of its words' products
+        scores = [rows @ matrix.T for _, _, rows, matrix in blocks]
+        places_of = [masks(item) for item in items]
         for batch in batches:
             for a, b, data, offsets in texts(batch.column("text")):
                 words, first = tokens(data, offsets)
@@ -193,26 +210,59 @@ def _search(vocabulary: np.ndarray, idf: np.ndarray, rare: float, blocks: list[t
                 best: dict[tuple[int, int], tuple] = {}
                 tried: set[tuple[int, int, int, int]] = set()
                 counts = np.diff(first)
-                for (members, places, rows, matrix), width in product(blocks, WIDTHS):
-                    if width == WIDTHS[0]:
-                        place = places[at]
-                        known = np.concatenate([[0], np.cumsum(np.where(place < len(rows) - 1, weight[at], 0))])
-                    # passages of width steps, one step apart (half of it for the wider ones); the last may be shorter
-                    size, stride = width * BLOCKS_LENGTH, width * BLOCKS_LENGTH // 2
-                    n = np.maximum(1, -(-np.maximum(counts - size, 0) // stride) + 1) * (counts > 0)
-                    doc = np.repeat(np.arange(len(counts)), n)
-                    start = first[doc] + stride * (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n))
-                    end = np.minimum(start + size, first[doc + 1])
-                    own, all_ = known[end] - known[start], norm[end] - norm[start]
-                    hope = np.flatnonzero((own > 0) & (own >= cosine**2 * all_))
-                    for k in range(0, len(hope), 512):
-                        some = hope[k : k + 512]
-                        lengths = end[some] - start[some]
-                        each = np.repeat(start[some], lengths) + np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                        p = np.add.reduceat(rows[place[each]], np.cumsum(lengths) - lengths, axis=0)
-                        close = (p @ matrix.T) / np.sqrt(all_[some])[:, None]
-                        for x, y in zip(*np.nonzero(close >= cosine), strict=True):
-                            s, e, d, i = start[some[x]], end[some[x]], doc[some[x]], members[y]
+                # passages consist of units, of half the narrowest width
+                each_n = -(-counts // UNIT)
+                unit_doc = np.repeat(np.arange(len(counts)), each_n)
+                first_unit = np.cumsum(each_n) - each_n
+                unit = first[unit_doc] + UNIT * (np.arange(len(unit_doc)) - first_unit[unit_doc])
+                for (members, places, rows, _), score in zip(blocks, scores, strict=True):
+                    place = places[at]
+                    known = np.concatenate([[0], np.cumsum(np.where(place < len(rows) - 1, weight[at], 0))])
+                    hopeful = []
+                    for width in WIDTHS:
+                        # passages of width steps, one step apart (half of it for the wider ones); the last may be shorter
+                        size, stride = width * BLOCKS_LENGTH, width * BLOCKS_LENGTH // 2
+                        n = np.maximum(1, -(-np.maximum(counts - size, 0) // stride) + 1) * (counts > 0)
+                        doc = np.repeat(np.arange(len(counts)), n)
+                        start = first[doc] + stride * (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n))
+                        end = np.minimum(start + size, first[doc + 1])
+                        own, all_ = known[end] - known[start], norm[end] - norm[start]
+                        hope = np.flatnonzero((own > 0) & (own >= cosine**2 * all_))
+                        doc, start, end, all_ = doc[hope], start[hope], end[hope], all_[hope]
+                        begin = first_unit[doc] + (start - first[doc]) // UNIT
+                        hopeful.append((doc, start, end, np.sqrt(all_), begin, begin + -(-(end - start) // UNIT), []))
+                    for low in range(0, len(unit), UNITS):
+                        # those that begin among UNITS units, and the units that any of them has
+                        spans = [slice(*np.searchsorted(h[4], (low, low + UNITS))) for h in hopeful]
+                        need = np.zeros(UNITS + 2 * WIDTHS[-1] + 1, int)
+                        for h, span in zip(hopeful, spans, strict=True):
+                            np.add.at(need, h[4][span] - low, 1)
+                            np.add.at(need, h[5][span] - low, -1)
+                        some = np.flatnonzero(np.cumsum(need)) + low
+                        if not len(some):
+                            continue
+                        sums = np.empty((len(some) + 1, score.shape[1]), np.float32)
+                        # units that none has stand for the last, which is nothing
+                        sums[-1] = 0
+                        where = np.full(len(need), len(some))
+                        where[some - low] = np.arange(len(some))
+                        for k in range(0, len(some), 2048):
+                            begins = unit[some[k : k + 2048]]
+                            lengths = np.minimum(begins + UNIT, first[unit_doc[some[k : k + 2048]] + 1]) - begins
+                            each = np.repeat(begins, lengths) + np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                            sums[k : k + len(begins)] = np.add.reduceat(score[place[each]], np.cumsum(lengths) - lengths, axis=0)
+                        for (_, _, _, root, begin, stop, got), span, width in zip(hopeful, spans, WIDTHS, strict=True):
+                            for k in range(span.start, span.stop, 512):
+                                part = slice(k, min(k + 512, span.stop))
+                                close = np.zeros((part.stop - k, score.shape[1]), np.float32)
+                                for j in range(2 * width):
+                                    close += sums[np.where(begin[part] + j < stop[part], where[np.minimum(begin[part] + j - low, len(where) - 1)], len(some))]
+                                close = close / root[part, None]
+                                x, y = np.nonzero(close >= cosine)
+                                got.append((x + k, y, close[x, y]))
+                    for doc, start, end, _, _, _, got in hopeful:
+                        for x, y, near in (z for g in got for z in zip(*g, strict=True)):
+                            s, e, d, i = start[x], end[x], doc[x], members[y]
                             wide = len(items[i])
                             if (d, i) in best and best[d, i][1] >= COVER:
                                 continue
@@ -224,8 +274,8 @@ def _search(vocabulary: np.ndarray, idf: np.ndarray, rare: float, blocks: list[t
                                 continue
                             tried.add((d, i, s, e))
                             window = signed(words[s:e]).tolist()
-                            if (hit := confirmed(items[i], window)) and ((d, i) not in best or best[d, i][1] < hit[0]):
-                                best[d, i] = (float(close[x, y]), *hit)
+                            if (hit := confirmed(items[i], window, places_of[i])) and ((d, i) not in best or best[d, i][1] < hit[0]):
+                                best[d, i] = (float(near), *hit)
                 if best:
                     keys = [(d, i, item) for d, i in best for item in ids[i]]
                     docs = batch.column("doc_id").slice(a, b - a).take(pa.array([int(d) for d, *_ in keys]))

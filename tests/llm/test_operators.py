@@ -547,6 +547,38 @@ def test_toxicity_distance():
     assert d.of(b"nitwit") > d.of(b"day") and d.of(b"nitwit!") == d.of(b"nitwit")
 
 
+def test_search_sums_units_across_their_runs(monkeypatch):
+    """Units are summed a run at a time; passages that cross runs have the cosines that their words give, and long texts take no more memory."""
+    import pyarrow as pa
+
+    r = random.Random(3)
+    names = [f"w{k}" for k in range(120)]
+    items = [[r.choice(names) for _ in range(n)] for n in (10, 24, 40, 60)]
+    texts_ = [" ".join(sum(([r.choice([*names, *("x" * k for k in range(1, 200))]) for _ in range(r.randrange(90))] + (x if r.random() < 0.7 else []) for x in r.sample(items, 4)), [])) for _ in range(12)] + ["", " ".join(items[1])]
+    hashes = lambda words: decontaminate.tokens(*(next(common.texts(pa.array([" ".join(words)])))[2:]))[0]
+    vocabulary = np.unique(np.concatenate([hashes(x) for x in items]))
+    idf, rare = np.linspace(1, 3, len(vocabulary)), 3.0
+    places = [decontaminate._places(hashes(x), vocabulary) for x in items]
+    block = (list(range(4)), *decontaminate._projected(np.arange(len(vocabulary)), idf, np.eye(len(vocabulary)), places))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts_))), pa.array(texts_)], ["doc_id", "text"])
+
+    def found():
+        run = decontaminate._search(vocabulary, idf, rare, [block], [[i] for i in range(4)], pa.int64(), [common.signed(hashes(x)).tolist() for x in items], 0.25)
+        return sorted(tuple(x.values()) for b in run(iter([batch])) for x in b.to_pylist())
+
+    whole = found()
+    assert len(whole) > 20 and (13, 1) in {x[:2] for x in whole}
+    for units in (1, 3, 16):
+        monkeypatch.setattr(decontaminate, "UNITS", units)
+        got = found()
+        assert [(*x[:2], *x[3:]) for x in got] == [(*x[:2], *x[3:]) for x in whole]
+        assert np.allclose([x[2] for x in got], [x[2] for x in whole], atol=1e-6)
+    assert abs(next(x[2] for x in whole if x[:2] == (13, 1)) - 1) < 0.4
+    # windows with too few of an item's words aren't compared
+    monkeypatch.setattr(decontaminate, "_common", None)
+    assert decontaminate.confirmed(list(range(20)), [*range(9), *range(100, 150)]) is None
+
+
 # --- pieces
 
 
